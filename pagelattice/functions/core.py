@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 # Fixed value: the characters a JavaScript regular expression treats as white space.
 JS_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# Fixed value: the non-ASCII ones among them.
+UNICODE_SPACE = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Fixed value: every code point that takes two UTF-16 units.
-ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+ASTRAL = r"\x{10000}-\x{10FFFF}"
 
 
 def col(c: Column | str) -> Column:
@@ -28,18 +30,38 @@ def re_replace(c: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(c, pattern, replacement)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     return re_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
 
-def collapse_space(c: Column) -> Column:
-    """Runs of white space become one blank, then trim."""
-    return F.trim(re_replace(c, f"[{JS_SPACE}]+", " "))
+def collapse_space(c: Column, ascii_only: Column | bool = False) -> Column:
+    """Runs of white space become one blank, then trim. Single blanks stay untouched.
+
+    ``ascii_only`` marks rows without Unicode blanks, which skip the first pass.
+    """
+    plain = F.regexp_replace(c, f"[{UNICODE_SPACE}]", " ")
+    if isinstance(ascii_only, Column):
+        plain = F.when(ascii_only, c).otherwise(plain)
+    return F.trim(re_replace(plain, r"[\t-\r][\t-\r ]*| [\t-\r ]+", " "))
 
 
 def u16len(c: Column) -> Column:
     """String length in UTF-16 units (Spark's length counts code points)."""
-    return F.length(c) + F.regexp_count(c, F.lit(ASTRAL))
+    return F.length(c) + count_in(c, ASTRAL)
+
+
+def count_in(c: Column, chars: str) -> Column:
+    """How many code points belong to a class; strips whole runs of the others at once."""
+    return F.length(F.regexp_replace(c, f"[^{chars}]+", ""))
+
+
+def count_outside(c: Column, chars: str) -> Column:
+    return F.length(F.regexp_replace(c, f"[{chars}]+", ""))
 
 
 def js_round(c: Column, digits: int = 0) -> Column:

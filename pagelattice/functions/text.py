@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.core import (
-    ASTRAL, JS_SPACE, col, collapse_space, compact, strings, txt, u16len, word,
+    ASTRAL, JS_SPACE, UNICODE_SPACE, col, collapse_space, compact, count_in, count_outside, txt, u16len, word,
 )
 
 # Characters usual in Western web copy.
@@ -45,32 +45,38 @@ ANCHORS = [
     rf"[A-Z][a-z]+(?:[{JS_SPACE}]+[A-Z][a-z]+){{2,}}[{JS_SPACE}]+is[{JS_SPACE}]+a(?![A-Za-z0-9_])",
 ]
 REPLACEMENT = chr(0xFFFD)
-FAILED_SUMMARY = "[text extraction failed — raw content preserved in crawl logs; confidence degraded]"
+FAILED_SUMMARY = "[text extraction failed " + chr(0x2014) + " raw content preserved in crawl logs; confidence degraded]"
 
 
-def _ratio(count: Column, t: Column, empty: float) -> Column:
-    n = u16len(t)
-    return F.when(n == 0, F.lit(empty)).otherwise(count / n)
+def _beyond_ascii(t: Column) -> Column:
+    """What is left once plain ASCII text is removed; every measure needs only this."""
+    return F.regexp_replace(t, r"[\t\n\r\x20-\x7E]+", "")
 
 
-def printable_ratio(text: Column | str) -> Column:
-    t = col(text)
-    bad = F.regexp_count(t, F.lit(f"[{CONTROL_CLASS}]"))
-    return _ratio(F.length(t) - bad, t, 1.0)
+def _units(t: Column, rest: Column) -> Column:
+    return F.length(t) + count_in(rest, ASTRAL)
+
+
+def _ratio(count: Column, n: Column, empty: float) -> Column:
+    return F.when(n == 0, F.lit(empty)).otherwise(count / n)
 
 
-def _common_count(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(f"[{COMMON_CLASS}]"))
+def printable_ratio(text: Column | str, rest: Column | None = None) -> Column:
+    t = col(text)
+    r = _beyond_ascii(t) if rest is None else rest
+    return _ratio(F.length(t) - count_in(r, CONTROL_CLASS), _units(t, r), 1.0)
 
 
-def common_text_ratio(text: Column | str) -> Column:
+def common_text_ratio(text: Column | str, rest: Column | None = None) -> Column:
     t = col(text)
-    return _ratio(_common_count(t), t, 1.0)
+    r = _beyond_ascii(t) if rest is None else rest
+    return _ratio(F.length(t) - count_outside(r, COMMON_CLASS), _units(t, r), 1.0)
 
 
-def uncommon_char_ratio(text: Column | str) -> Column:
+def uncommon_char_ratio(text: Column | str, rest: Column | None = None) -> Column:
     t = col(text)
-    return _ratio(F.regexp_count(t, F.lit(f"[^{COMMON_CLASS}]")), t, 0.0)
+    r = _beyond_ascii(t) if rest is None else rest
+    return _ratio(count_outside(r, COMMON_CLASS), _units(t, r), 0.0)
 
 
 def has_control_chars(text: Column | str) -> Column:
@@ -87,7 +93,7 @@ def strip_control_chars(text: Column | str) -> Column:
 
 def strip_invisible(text: Column | str) -> Column:
     """Without byte order marks, zero-width and bidirectional control characters."""
-    return F.regexp_replace(F.regexp_replace(col(text), ZERO_WIDTH, ""), BIDI, "")
+    return F.regexp_replace(col(text), f"{ZERO_WIDTH}|{BIDI}", "")
 
 
 def _numeric_entities(s: Column, pattern: str, base: int) -> Column:
@@ -106,9 +112,9 @@ def decode_entities(text: Column | str) -> Column:
     s = col(text)
     for pattern, plain in ENTITIES:
         s = F.regexp_replace(s, pattern, plain)
-    has_numeric = col(text).contains("&") & col(text).contains("#")
     both = _numeric_entities(_numeric_entities(s, r"(?i)&#x[0-9a-f]+;", 16), r"&#[0-9]+;", 10)
-    return F.when(has_numeric, both).otherwise(s)
+    decoded = F.when(col(text).contains("#"), both).otherwise(s)
+    return F.when(col(text).contains("&"), decoded).otherwise(col(text))
 
 
 def is_english_like(token: Column | str) -> Column:
@@ -119,7 +125,7 @@ def is_english_like(token: Column | str) -> Column:
 def head(text: Column | str, n: int = 240) -> Column:
     """First n UTF-16 units, on a code point boundary."""
     cut = F.substring(col(text), 1, n)
-    return F.substring(cut, F.lit(1), F.lit(n) - F.regexp_count(cut, F.lit(ASTRAL)))
+    return F.substring(cut, F.lit(1), F.lit(n) - count_in(cut, ASTRAL))
 
 
 def degrade_confidence(base: Column | str, penalty: Column) -> Column:
@@ -202,15 +208,22 @@ def normalize_text(df: DataFrame, text: str, out: str = "tq", max_length: int =
     p = f"_{out}_"
     c = lambda name: F.col(p + name)
     df = df.withColumn(p + "raw", txt(text))
-    df = df.withColumn(p + "vis", strip_invisible(F.regexp_replace(c("raw"), REPLACEMENT, "")))
-    df = df.withColumn(p + "clean", collapse_space(decode_entities(strip_control_chars(c("vis")))))
-    df = df.withColumn(p + "pr", printable_ratio(c("clean")))
-    df = df.withColumn(p + "cr0", common_text_ratio(c("clean")))
-    df = df.withColumn(p + "ur0", uncommon_char_ratio(c("clean")))
-    df = df.withColumn(p + "ctl", has_control_chars(c("vis")))
-    df = df.withColumn(p + "low", (c("cr0") < 0.85) & (u16len(c("clean")) > 20))
+    df = df.withColumn(p + "rest0", _beyond_ascii(c("raw")))
+    dirty = c("rest0").rlike(f"[{CONTROL_CLASS}]|{ZERO_WIDTH}|{BIDI}|{REPLACEMENT}")
+    stripped = strip_control_chars(strip_invisible(F.regexp_replace(c("raw"), REPLACEMENT, "")))
+    df = df.withColumn(p + "vis", F.when(dirty, stripped).otherwise(c("raw")))
+    df = df.withColumn(p + "clean", collapse_space(decode_entities(c("vis")), ~c("rest0").rlike(f"[{UNICODE_SPACE}]") & ~c("raw").contains("&")))
+    df = df.withColumn(p + "rest", _beyond_ascii(c("clean")))
+    df = df.withColumn(p + "n", _units(c("clean"), c("rest")))
+    df = df.withColumn(p + "pr", _ratio(F.length(c("clean")) - count_in(c("rest"), CONTROL_CLASS), c("n"), 1.0))
+    df = df.withColumn(p + "un", count_outside(c("rest"), COMMON_CLASS))
+    df = df.withColumn(p + "cr0", _ratio(F.length(c("clean")) - c("un"), c("n"), 1.0))
+    df = df.withColumn(p + "ur0", _ratio(c("un"), c("n"), 0.0))
+    df = df.withColumn(p + "ctl", has_control_chars(c("rest0")))
+    df = df.withColumn(p + "low", (c("cr0") < 0.85) & (c("n") > 20))
     df = df.withColumn(
-        p + "dense", (uncommon_char_ratio(head(c("clean"))) >= 0.08) | (c("ur0") >= 0.04)
+        p + "dense",
+        (c("ur0") >= 0.04) | ((c("un") > 0) & (uncommon_char_ratio(head(c("clean"))) >= 0.08)),
     )
     df = salvage_text(df, p + "clean", p + "sv", c("low") | c("ctl") | c("dense"))
     df = df.withColumn(p + "sal", F.col(p + "sv")["salvaged"])
@@ -236,7 +249,7 @@ def normalize_text(df: DataFrame, text: str, out: str = "tq", max_length: int =
     )
     fatal = (
         c("bin")
-        | ((c("cr") < 0.7) & (u16len(c("text")) > 20))
+        | ((c("cr") < 0.7) & (F.when(c("sal"), u16len(c("text"))).otherwise(c("n")) > 20))
         | ((c("ur") >= 0.08) & ~c("sal"))
         | (c("pr") < 0.5)
     )
@@ -247,7 +260,8 @@ def normalize_text(df: DataFrame, text: str, out: str = "tq", max_length: int =
         .when(F.size(c("issues")) > 0, 0.1)
         .otherwise(0.0)
     )
-    cut = F.when(u16len(c("text")) > max_length, F.concat(head(c("text"), max_length), F.lit("…"))).otherwise(c("text"))
+    df = df.withColumn(p + "size", F.when(c("sal"), u16len(c("text"))).otherwise(c("n")))
+    cut = F.when(c("size") > max_length, F.concat(head(c("text"), max_length), F.lit(chr(0x2026)))).otherwise(c("text"))
     df = df.withColumn(
         out,
         F.struct(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelattice.functions.core import col, js_trim, strings, txt
+from pagelattice.functions.core import col, js_trim, let, strings, txt
 
 # Query parameters that only track the visitor.
 TRACKING_PARAMS = [
@@ -34,39 +34,43 @@ FETCH_ERRORS = [
     (r"net::err_|econnreset|socket", "other", True),
 ]
 
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*(?:([^/\\?#]*)@)?([^/\\?#@]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_SEP = chr(1)
 _PATH_UNSAFE = r'[^\x21-\x7e]|["<>`{}]'
 
 
-def _clean(url: Column) -> Column:
-    return F.regexp_replace(js_trim(url), r"[\t\n\r]", "")
-
-
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(_clean(url), _PARTS, n)
-
-
-def _authority(url: Column) -> Column:
-    return _part(url, 2)
-
+def _parsed(url: Column | str) -> Column:
+    """STRUCT<scheme, user, host, port, path, query> of an http(s) URL, NULL for others."""
+    trimmed = F.regexp_replace(F.trim(col(url)), r"[\t\n\r]", "")
+    split = F.split(F.regexp_replace(trimmed, _PARTS, f"$1{_SEP}$2{_SEP}$3{_SEP}$4{_SEP}$5"), _SEP)
+
+    def build(p: Column) -> Column:
+        scheme, hostport = F.lower(p[0]), F.lower(p[2])
+        ok = (F.size(p) == 5) & scheme.isin("http", "https") & hostport.rlike(r"^[^\s<>\[\]^|%:@]+(?::[0-9]*)?$")
+        path = F.replace(p[3], F.lit("\\"), F.lit("/"))
+        return F.when(
+            ok,
+            F.struct(
+                scheme.alias("scheme"),
+                p[1].alias("user"),
+                F.substring_index(hostport, ":", 1).alias("host"),
+                F.regexp_extract(hostport, r"(:[0-9]+)$", 1).alias("port"),
+                F.when(path == "", F.lit("/")).otherwise(_encode_path(_drop_dot_segments(path))).alias("path"),
+                p[4].alias("query"),
+            ),
+        )
 
-def _host_port(url: Column) -> Column:
-    return F.lower(F.regexp_replace(_authority(url), r"^.*@", ""))
+    return let(split, build)
 
 
 def is_http(url: Column | str) -> Column:
     """An absolute http(s) URL with a usable host; NULL is false."""
-    u = col(url)
-    ok = F.lower(_part(u, 1)).isin("http", "https") & _host_port(u).rlike(
-        r"^[^\s<>\[\]^|%:@]+(?::[0-9]*)?$"
-    )
-    return F.coalesce(ok, F.lit(False))
+    return _parsed(url).isNotNull()
 
 
 def url_host(url: Column | str) -> Column:
     """Lower-case host name without port, NULL when the URL does not parse."""
-    u = col(url)
-    return F.when(is_http(u), F.regexp_replace(_host_port(u), r":[0-9]*$", ""))
+    return _parsed(url)["host"]
 
 
 def bare_host(host: Column | str) -> Column:
@@ -104,23 +108,20 @@ def _drop_dot_segments(path: Column) -> Column:
 
 def url_path(url: Column | str) -> Column:
     """Percent-encoded path, '/' when empty, NULL when the URL does not parse."""
-    u = col(url)
-    raw = F.regexp_replace(_part(u, 3), r"\\", "/")
-    path = F.when(raw == "", F.lit("/")).otherwise(_encode_path(_drop_dot_segments(raw)))
-    return F.when(is_http(u), path)
+    return _parsed(url)["path"]
 
 
-def _query(url: Column) -> Column:
+def _kept_query(query: Column) -> Column:
     """Form-encoded query without the tracking parameters, '' when none is left."""
 
     def decoded(s: Column) -> Column:
         return F.coalesce(F.try_url_decode(s), s)
 
-    pairs = F.filter(F.split(F.substring(_part(url, 4), 2, 1 << 30), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     named = F.transform(
         pairs,
         lambda p: F.struct(
-            decoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"),
+            decoded(F.substring_index(p, "=", 1)).alias("k"),
             decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v"),
         ),
     )
@@ -128,33 +129,31 @@ def _query(url: Column) -> Column:
     text = F.array_join(
         F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&"
     )
-    has_query = F.length(_part(url, 4)) > 1
-    return F.when(has_query & (text != ""), F.concat(F.lit("?"), text)).otherwise(F.lit(""))
+    return F.when(query == "", F.lit("")).otherwise(
+        let(text, lambda t: F.when(t == "", t).otherwise(F.concat(F.lit("?"), t)))
+    )
 
 
 def normalize_url(
     url: Column | str, preferred_host: Column | str | None = None, prefer_https: bool = True
 ) -> Column:
     """Canonical form of an absolute URL, NULL unless it is http(s)."""
-    u = col(url)
-    scheme = F.lit("https") if prefer_https else F.lower(_part(u, 1))
-    host = url_host(u)
-    apex = F.regexp_replace(host, r"^www\.", "")
-    if preferred_host is None:
-        new_host = apex
-    else:
-        pref = F.lower(F.lit(preferred_host) if isinstance(preferred_host, str) else preferred_host)
-        new_host = (
-            F.when(pref.isNull(), apex).when(bare_host(host) == bare_host(pref), pref).otherwise(host)
-        )
-    user = F.regexp_extract(_authority(u), r"^(.*@)", 1)
-    port = F.regexp_extract(_host_port(u), r"(:[0-9]+)$", 1)
-    own_default = F.when(F.lower(_part(u, 1)) == "http", F.lit(":80")).otherwise(F.lit(":443"))
-    new_default = F.when(scheme == "http", F.lit(":80")).otherwise(F.lit(":443"))
-    port = F.when((port == own_default) | (port == new_default), F.lit("")).otherwise(port)
-    path = url_path(u)
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/$", ""))
-    return F.when(is_http(u), F.concat(scheme, F.lit("://"), user, new_host, port, path, _query(u)))
+    pref = F.lit(preferred_host).cast("string") if not isinstance(preferred_host, Column) else preferred_host
+    pref = F.lower(pref)
+
+    def build(p: Column) -> Column:
+        scheme = F.lit("https") if prefer_https else p["scheme"]
+        apex = bare_host(p["host"])
+        host = F.when(pref.isNull(), apex).when(apex == bare_host(pref), pref).otherwise(p["host"])
+        default = p["port"].isin(":443") | ((p["port"] == ":80") & (p["scheme"] == "http"))
+        if not prefer_https:
+            default = F.concat(p["scheme"], p["port"]).isin("http:80", "https:443")
+        port = F.when(default, F.lit("")).otherwise(p["port"])
+        user = F.when(p["user"] == "", F.lit("")).otherwise(F.concat(p["user"], F.lit("@")))
+        path = F.when(p["path"] == "/", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"/$", ""))
+        return F.concat(scheme, F.lit("://"), user, host, port, path, _kept_query(p["query"]))
+
+    return let(_parsed(url), build)
 
 
 def resolve_href(href: Column | str, base: Column | str) -> Column:
@@ -245,7 +244,6 @@ def robots_rules(text: Column | str) -> Column:
 def robots_allowed(url: Column | str, disallow: Column | str) -> Column:
     """True when no rule is a prefix of the path; no rules allow everything."""
     rules = F.coalesce(col(disallow), strings([]))
-    path = url_path(url)
-    blocked = F.exists(rules, lambda r: path.startswith(r))
+    blocked = let(url_path(url), lambda path: F.exists(rules, lambda r: path.startswith(r)))
     return (F.size(rules) == 0) | F.coalesce(~blocked, F.lit(False))
 
