@@ -84,3 +84,11 @@ def candidate_pattern_id(key: Column | str) -> Column:
 def observation_key(category: Column, signal: Column, polarity: Column | str = "present", ascii_only: bool = False) -> Column:
     pol = F.lit(polarity) if isinstance(polarity, str) else polarity
     return normalize_key(F.concat(txt(category), F.lit(":"), txt(signal), F.lit(":"), pol), ascii_only)
+
+
+def key_of(text: str) -> str:
+    """`normalize_key` of a Python string, for query parameters."""
+    import re
+
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
+    return re.sub(r"^-+|-+$", "", re.sub(r"[^a-z0-9]+", "-", plain))[:160]
