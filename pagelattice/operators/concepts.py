@@ -299,7 +299,7 @@ def normalize(entities: DataFrame, concepts: DataFrame, prior: DataFrame | None
     weak = F.concat(F.lit("Best candidate "), "canonical_name", F.lit(" below threshold ("), two("confidence"), F.lit(f" < {threshold})"))
     none = F.col("best_concept").isNull()
     fresh = df.select(
-        F.concat(F.lit("map_"), stable_hash("project", "entity_id", F.coalesce("best_concept", F.lit("unmapped")))).alias("id"),
+        F.concat(F.lit("nmap_"), stable_hash("project", "entity_id", F.coalesce("best_concept", F.lit("unmapped")))).alias("id"),
         F.col("project").alias("source_project"), F.col("entity_id").alias("source_entity_id"), F.col("name").alias("original_label"),
         normalize_key("name", ascii_only).alias("lexical_key"), accepted.alias("concept_id"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("semantic")).alias("method"),
