@@ -6,6 +6,9 @@ helpers pin down its notions of white space, string length and rounding.
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,24 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def built_once(fn):
+    """Keeps what ``fn`` builds for its (hashable) arguments.
+
+    Columns over names carry no data and can be used in any plan; building a large one
+    takes many calls into the JVM, so it is done once per Spark context.
+    """
+    kept: dict = {}
+
+    @wraps(fn)
+    def inner(*args):
+        key = (id(SparkContext._active_spark_context), args)
+        if key not in kept:
+            kept[key] = fn(*args)
+        return kept[key]
+
+    return inner
+
+
 def txt(c: Column | str) -> Column:
     """NULL as the empty string."""
     return F.coalesce(col(c), F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.core import (
-    ASTRAL, JS_SPACE, UNICODE_SPACE, col, collapse_space, compact, count_in, count_outside, txt, u16len, word,
+    ASTRAL, JS_SPACE, UNICODE_SPACE, built_once, col, collapse_space, compact, count_in, count_outside, txt, u16len, word,
 )
 
 # Characters usual in Western web copy.
@@ -137,13 +137,23 @@ def degrade_confidence(base: Column | str, penalty: Column) -> Column:
     )
 
 
-def salvage_text(df: DataFrame, text: str, out: str = "salvaged", when: Column | None = None) -> DataFrame:
-    """Adds ``out`` STRUCT<text, salvaged>: the readable span of a corrupted text.
+def _staged(df: DataFrame, stages: list[dict[str, Column]], prefix: str) -> DataFrame:
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df.drop(*[c for c in df.columns if c.startswith((prefix, "_" + prefix))])
 
-    Token flags are kept as a string of 0 and 1, so the first window of five tokens
-    with at least four good ones is one regular expression match.
-    """
+
+def salvage_text(df: DataFrame, text: str, out: str = "salvaged") -> DataFrame:
+    """Adds ``out`` STRUCT<text, salvaged>: the readable span of a corrupted text."""
+    return _staged(df, _salvage_stages(text, out, None), f"_{out}_")
+
+
+@built_once
+def _salvage_stages(text: str, out: str, when: str | None) -> list[dict[str, Column]]:
+    """Token flags are kept as a string of 0 and 1, so the first window of five tokens
+    with at least four good ones is one regular expression match."""
     p = f"_{out}_"
+    c = lambda name: F.col(p + name)
     t = F.col(text)
     need = (
         (uncommon_char_ratio(head(t)) >= 0.08)
@@ -151,130 +161,131 @@ def salvage_text(df: DataFrame, text: str, out: str = "salvaged", when: Column |
         | (common_text_ratio(head(t)) < 0.9)
     ) & (F.length(t) > 0)
     if when is not None:
-        need = when & need
-    df = df.withColumn(p + "need", F.coalesce(need, F.lit(False)))
-    df = df.withColumn(
-        p + "tok",
-        F.when(F.col(p + "need"), F.filter(F.split(t, f"[{JS_SPACE}]+"), lambda x: x != "")),
-    )
-    df = df.withColumn(
-        p + "flags",
-        F.array_join(F.transform(p + "tok", lambda x: F.when(is_english_like(x), "1").otherwise("0")), ""),
-    )
-    flags = F.col(p + "flags")
+        need = F.col(when) & need
+    tokens = F.filter(F.split(t, f"[{JS_SPACE}]+"), lambda x: x != "")
+    flags = F.array_join(F.transform(c("tok"), lambda x: F.when(is_english_like(x), "1").otherwise("0")), "")
     window = "[01]1111|1[01]111|11[01]11|111[01]1|1111[01]"
-    onset = F.when(F.size(p + "tok") >= 6, F.regexp_instr(flags, F.lit(window)))
-    df = df.withColumn(p + "on", onset)
-    on = F.col(p + "on")
-    start = on + F.instr(F.substring(flags, on, F.length(flags)), "1") - 1
-    df = df.withColumn(p + "start", F.when(on > 0, start))
-    first = F.col(p + "start")
-    indexed = F.transform(
-        F.col(p + "tok"),
+    onset = F.when(F.size(c("tok")) >= 6, F.regexp_instr(c("flags"), F.lit(window)))
+    start = c("on") + F.instr(F.substring(c("flags"), c("on"), F.length(c("flags"))), "1") - 1
+    kept = F.transform(
+        c("tok"),
         lambda x, i: F.when(
-            (i + 1 >= first)
+            (i + 1 >= c("start"))
             & (
                 (u16len(x) <= 2)
-                | (F.substring(flags, i + 1, F.lit(1)) == "1")
+                | (F.substring(c("flags"), i + 1, F.lit(1)) == "1")
                 | (common_text_ratio(x) >= 0.85)
             ),
             x,
         ),
     )
-    df = df.withColumn(p + "cut", F.when(on > 0, F.array_join(F.array_compact(indexed), " ")))
     anchored = F.lit(None).cast("string")
     for pattern in reversed(ANCHORS):
         at = F.regexp_instr(t, F.lit(pattern))
         part = collapse_space(F.substring(t, at, F.length(t)))
         anchored = F.when((at > 0) & (u16len(part) >= 40), part).otherwise(anchored)
-    df = df.withColumn(p + "anchor", F.when(on == 0, anchored))
-    cut = F.col(p + "cut")
+    cut = c("cut")
     good = (
         (u16len(cut) >= 40)
         & (uncommon_char_ratio(cut) < uncommon_char_ratio(t))
         & (common_text_ratio(cut) >= 0.9)
     )
-    best = F.coalesce(F.when(good, cut), F.col(p + "anchor"))
-    df = df.withColumn(
-        out,
-        F.struct(F.coalesce(best, t).alias("text"), best.isNotNull().alias("salvaged")),
-    )
-    return df.drop(*[p + x for x in ("need", "tok", "flags", "on", "start", "cut", "anchor")])
+    best = c("best")
+    return [
+        {p + "tok": F.when(need, tokens)},
+        {p + "flags": flags},
+        {p + "on": onset},
+        {p + "start": F.when(c("on") > 0, start)},
+        {p + "cut": F.when(c("on") > 0, F.array_join(F.array_compact(kept), " "))},
+        {p + "best": F.coalesce(F.when(good, cut), F.when(c("on") == 0, anchored))},
+        {out: F.struct(F.coalesce(best, t).alias("text"), best.isNotNull().alias("salvaged"))},
+    ]
 
 
 def normalize_text(df: DataFrame, text: str, out: str = "tq", max_length: int = 10_000) -> DataFrame:
     """Adds ``out`` STRUCT<text, ok, printable_ratio, common_text_ratio, issues,
     confidence_penalty, raw_preserved>: the text cleaned and judged."""
+    return _staged(df, _normalize_stages(text, out, max_length), f"_{out}_")
+
+
+@built_once
+def _normalize_stages(text: str, out: str, max_length: int) -> list[dict[str, Column]]:
     p = f"_{out}_"
     c = lambda name: F.col(p + name)
-    df = df.withColumn(p + "raw", txt(text))
-    df = df.withColumn(p + "rest0", _beyond_ascii(c("raw")))
     dirty = c("rest0").rlike(f"[{CONTROL_CLASS}]|{ZERO_WIDTH}|{BIDI}|{REPLACEMENT}")
     stripped = strip_control_chars(strip_invisible(F.regexp_replace(c("raw"), REPLACEMENT, "")))
-    df = df.withColumn(p + "vis", F.when(dirty, stripped).otherwise(c("raw")))
-    df = df.withColumn(p + "clean", collapse_space(decode_entities(c("vis")), ~c("rest0").rlike(f"[{UNICODE_SPACE}]") & ~c("raw").contains("&")))
-    df = df.withColumn(p + "rest", _beyond_ascii(c("clean")))
-    df = df.withColumn(p + "n", _units(c("clean"), c("rest")))
-    df = df.withColumn(p + "pr", _ratio(F.length(c("clean")) - count_in(c("rest"), CONTROL_CLASS), c("n"), 1.0))
-    df = df.withColumn(p + "un", count_outside(c("rest"), COMMON_CLASS))
-    df = df.withColumn(p + "cr0", _ratio(F.length(c("clean")) - c("un"), c("n"), 1.0))
-    df = df.withColumn(p + "ur0", _ratio(c("un"), c("n"), 0.0))
-    df = df.withColumn(p + "ctl", has_control_chars(c("rest0")))
-    df = df.withColumn(p + "low", (c("cr0") < 0.85) & (c("n") > 20))
-    df = df.withColumn(
-        p + "dense",
-        (c("ur0") >= 0.04) | ((c("un") > 0) & (uncommon_char_ratio(head(c("clean"))) >= 0.08)),
-    )
-    df = salvage_text(df, p + "clean", p + "sv", c("low") | c("ctl") | c("dense"))
-    df = df.withColumn(p + "sal", F.col(p + "sv")["salvaged"])
-    df = df.withColumn(p + "text", F.col(p + "sv")["text"])
-    df = df.withColumn(p + "cr", F.when(c("sal"), common_text_ratio(c("text"))).otherwise(c("cr0")))
-    df = df.withColumn(p + "ur", F.when(c("sal"), uncommon_char_ratio(c("text"))).otherwise(c("ur0")))
-    df = df.withColumn(p + "cleared", c("sal") & (c("ur") < 0.02) & (c("cr") >= 0.9))
-    df = df.withColumn(
-        p + "bin", c("raw").contains(chr(0)) | (c("pr") < 0.5)
-    )
+    no_odd_space = ~c("rest0").rlike(f"[{UNICODE_SPACE}]") & ~c("raw").contains("&")
     keep = ~c("cleared")
-    df = df.withColumn(
-        p + "issues",
-        compact(
-            F.when(c("raw").contains(REPLACEMENT), F.lit("replacement_chars")),
-            F.when(c("ctl") & keep, F.lit("control_characters")),
-            F.when(c("pr") < 0.7, F.lit("low_printable_ratio")),
-            F.when(c("low") & keep, F.lit("low_common_text_ratio")),
-            F.when(c("dense") & keep, F.lit("uncommon_unicode_density")),
-            F.when(c("bin"), F.lit("likely_binary_or_compressed")),
-            F.when(c("sal"), F.lit("salvaged_readable_text")),
-        ),
+    issues = compact(
+        F.when(c("raw").contains(REPLACEMENT), F.lit("replacement_chars")),
+        F.when(c("ctl") & keep, F.lit("control_characters")),
+        F.when(c("pr") < 0.7, F.lit("low_printable_ratio")),
+        F.when(c("low") & keep, F.lit("low_common_text_ratio")),
+        F.when(c("dense") & keep, F.lit("uncommon_unicode_density")),
+        F.when(c("bin"), F.lit("likely_binary_or_compressed")),
+        F.when(c("sal"), F.lit("salvaged_readable_text")),
     )
     fatal = (
         c("bin")
-        | ((c("cr") < 0.7) & (F.when(c("sal"), u16len(c("text"))).otherwise(c("n")) > 20))
+        | ((c("cr") < 0.7) & (c("size") > 20))
         | ((c("ur") >= 0.08) & ~c("sal"))
         | (c("pr") < 0.5)
     )
-    df = df.withColumn(p + "ok", ~fatal & (c("cr") >= 0.75) & (c("pr") >= 0.7) & (c("ur") < 0.05))
-    penalty = (
-        F.when(~c("ok"), 0.35)
-        .when(c("sal"), 0.12)
-        .when(F.size(c("issues")) > 0, 0.1)
-        .otherwise(0.0)
-    )
-    df = df.withColumn(p + "size", F.when(c("sal"), u16len(c("text"))).otherwise(c("n")))
-    cut = F.when(c("size") > max_length, F.concat(head(c("text"), max_length), F.lit(chr(0x2026)))).otherwise(c("text"))
-    df = df.withColumn(
-        out,
-        F.struct(
-            F.when(c("ok"), cut).otherwise("").alias("text"),
-            c("ok").alias("ok"),
-            c("pr").alias("printable_ratio"),
-            c("cr").alias("common_text_ratio"),
-            c("issues").alias("issues"),
-            penalty.alias("confidence_penalty"),
-            (~c("ok")).alias("raw_preserved"),
-        ),
-    )
-    return df.drop(*[x for x in df.columns if x.startswith(p)])
+    penalty = F.when(~c("ok"), 0.35).when(c("sal"), 0.12).when(F.size(c("issues")) > 0, 0.1).otherwise(0.0)
+    cut = F.when(
+        c("size") > max_length, F.concat(head(c("text"), max_length), F.lit(chr(0x2026)))
+    ).otherwise(c("text"))
+    sv = F.col(f"{p}sv")
+    return [
+        {p + "raw": txt(text)},
+        {p + "rest0": _beyond_ascii(c("raw"))},
+        {
+            p + "vis": F.when(dirty, stripped).otherwise(c("raw")),
+            p + "ctl": has_control_chars(c("rest0")),
+        },
+        {p + "clean": collapse_space(decode_entities(c("vis")), no_odd_space)},
+        {p + "rest": _beyond_ascii(c("clean"))},
+        {
+            p + "n": _units(c("clean"), c("rest")),
+            p + "un": count_outside(c("rest"), COMMON_CLASS),
+            p + "pr": printable_ratio(c("clean"), c("rest")),
+        },
+        {
+            p + "cr0": _ratio(F.length(c("clean")) - c("un"), c("n"), 1.0),
+            p + "ur0": _ratio(c("un"), c("n"), 0.0),
+        },
+        {
+            p + "low": (c("cr0") < 0.85) & (c("n") > 20),
+            p + "dense": (c("ur0") >= 0.04)
+            | ((c("un") > 0) & (uncommon_char_ratio(head(c("clean"))) >= 0.08)),
+        },
+        {p + "try": c("low") | c("ctl") | c("dense")},
+        *_salvage_stages(p + "clean", p + "sv", p + "try"),
+        {
+            p + "sal": sv["salvaged"],
+            p + "text": sv["text"],
+            p + "cr": F.when(sv["salvaged"], common_text_ratio(sv["text"])).otherwise(c("cr0")),
+            p + "ur": F.when(sv["salvaged"], uncommon_char_ratio(sv["text"])).otherwise(c("ur0")),
+            p + "size": F.when(sv["salvaged"], u16len(sv["text"])).otherwise(c("n")),
+            p + "bin": c("raw").contains(chr(0)) | (c("pr") < 0.5),
+        },
+        {p + "cleared": c("sal") & (c("ur") < 0.02) & (c("cr") >= 0.9)},
+        {
+            p + "issues": issues,
+            p + "ok": ~fatal & (c("cr") >= 0.75) & (c("pr") >= 0.7) & (c("ur") < 0.05),
+        },
+        {
+            out: F.struct(
+                F.when(c("ok"), cut).otherwise("").alias("text"),
+                c("ok").alias("ok"),
+                c("pr").alias("printable_ratio"),
+                c("cr").alias("common_text_ratio"),
+                c("issues").alias("issues"),
+                penalty.alias("confidence_penalty"),
+                (~c("ok")).alias("raw_preserved"),
+            )
+        },
+    ]
 
 
 def needs_text_repair(df: DataFrame, summary: str, out: str = "needs_repair") -> DataFrame:

@@ -134,26 +134,43 @@ def _kept_query(query: Column) -> Column:
     )
 
 
+def _canonical(p: Column, pref: Column, prefer_https: bool) -> Column:
+    scheme = F.lit("https") if prefer_https else p["scheme"]
+    apex = bare_host(p["host"])
+    host = F.when(pref.isNull(), apex).when(apex == bare_host(pref), pref).otherwise(p["host"])
+    default = (p["port"] == ":443") | ((p["port"] == ":80") & (p["scheme"] == "http"))
+    if not prefer_https:
+        default = F.concat(p["scheme"], p["port"]).isin("http:80", "https:443")
+    port = F.when(default, F.lit("")).otherwise(p["port"])
+    user = F.when(p["user"] == "", F.lit("")).otherwise(F.concat(p["user"], F.lit("@")))
+    path = F.when(p["path"] == "/", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"/$", ""))
+    return F.concat(scheme, F.lit("://"), user, host, port, path, _kept_query(p["query"]))
+
+
+def _preference(preferred_host: Column | str | None) -> Column:
+    if isinstance(preferred_host, Column):
+        return F.lower(preferred_host)
+    return F.lower(F.lit(preferred_host).cast("string"))
+
+
 def normalize_url(
     url: Column | str, preferred_host: Column | str | None = None, prefer_https: bool = True
 ) -> Column:
     """Canonical form of an absolute URL, NULL unless it is http(s)."""
-    pref = F.lit(preferred_host).cast("string") if not isinstance(preferred_host, Column) else preferred_host
-    pref = F.lower(pref)
-
-    def build(p: Column) -> Column:
-        scheme = F.lit("https") if prefer_https else p["scheme"]
-        apex = bare_host(p["host"])
-        host = F.when(pref.isNull(), apex).when(apex == bare_host(pref), pref).otherwise(p["host"])
-        default = p["port"].isin(":443") | ((p["port"] == ":80") & (p["scheme"] == "http"))
-        if not prefer_https:
-            default = F.concat(p["scheme"], p["port"]).isin("http:80", "https:443")
-        port = F.when(default, F.lit("")).otherwise(p["port"])
-        user = F.when(p["user"] == "", F.lit("")).otherwise(F.concat(p["user"], F.lit("@")))
-        path = F.when(p["path"] == "/", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"/$", ""))
-        return F.concat(scheme, F.lit("://"), user, host, port, path, _kept_query(p["query"]))
-
-    return let(_parsed(url), build)
+    pref = _preference(preferred_host)
+    return let(_parsed(url), lambda p: F.when(p.isNotNull(), _canonical(p, pref, prefer_https)))
+
+
+def canonical_link(url: Column | str, preferred_host: Column | str | None = None) -> Column:
+    """STRUCT<href, host>: the canonical URL and its bare host, parsed once."""
+    pref = _preference(preferred_host)
+    return let(
+        _parsed(url),
+        lambda p: F.when(
+            p.isNotNull(),
+            F.struct(_canonical(p, pref, True).alias("href"), bare_host(p["host"]).alias("host")),
+        ),
+    )
 
 
 def resolve_href(href: Column | str, base: Column | str) -> Column:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import urls as U
 from pagelattice.functions.core import (
-    collapse_space, compact, first_seen, js_trim, let, strings, txt,
+    built_once, collapse_space, compact, first_seen, js_trim, let, strings, txt,
+)
+from pagelattice.functions.text import (
+    FAILED_SUMMARY, common_text_ratio, decode_entities, normalize_text, printable_ratio, strip_control_chars,
+    strip_invisible, uncommon_char_ratio,
 )
-from pagelattice.functions.text import FAILED_SUMMARY, normalize_text
 from pagelattice.sources.html import tokenize_html
 
 # Product family terms looked for in page text.
@@ -82,64 +85,81 @@ def extract_pages(pages: DataFrame, projects: DataFrame) -> DataFrame:
     approved_hosts. Map-only apart from the join to the project table.
     """
     hosts = projects.select(F.col("slug").alias("project_slug"), "approved_hosts")
-    df = pages.join(hosts, "project_slug", "left").withColumn(
-        "_pref", U.preferred_host("approved_hosts")
-    )
-    df = df.select(
-        "project_slug", "page_id", "seq", "approved_hosts", "_pref",
-        F.coalesce(U.normalize_url("url", F.col("_pref")), F.col("url")).alias("url"),
-        technology_indicators(F.col("html")).alias("technology_indicators"),
-        "html",
-    )
-    df = tokenize_html(df)
-    df = _with_summary(df)
-    e, base, pref = F.col("elements"), F.col("url"), F.col("_pref")
+    df = pages.join(hosts, "project_slug", "left").select(*_page_columns())
+    df = _with_summary(tokenize_html(df))
+    for stage in _link_stages():
+        df = df.withColumns(stage)
+    return df.select(*_record_columns())
+
+
+@built_once
+def _page_columns() -> list:
+    pref = U.preferred_host("approved_hosts")
+    return [
+        "project_slug", "page_id", "seq", F.transform("approved_hosts", U.bare_host).alias("_allowed"), pref.alias("_pref"),
+        F.coalesce(U.normalize_url("url", pref), F.col("url")).alias("url"),
+        technology_indicators(F.col("html")).alias("technology_indicators"), "html",
+    ]
+
 
-    def absolute(href: Column) -> Column:
-        return U.normalize_url(U.resolve_href(href, base), pref)
+def _absolute(href: Column) -> Column:
+    """STRUCT<href, host>: canonical form of a link on the page and its bare host."""
+    return U.canonical_link(U.resolve_href(href, F.col("url")), F.col("_pref"))
 
-    links = F.transform(
+
+def _hrefs(rows: Column) -> Column:
+    return first_seen(F.transform(rows, lambda x: x["href"]))
+
+
+@built_once
+def _link_stages() -> list[dict[str, Column]]:
+    e, links = F.col("elements"), F.col("_links")
+    made = F.transform(
         _pick(e, lambda x: (x["tag"] == "a") & txt(_attr(x, "href")).rlike(r"\S")),
+        lambda x: F.struct(x["up"].alias("up"), _clean_text(x).alias("text"), _absolute(_attr(x, "href")).alias("at")),
+    )
+    flat = F.transform(
+        F.filter(made, lambda x: x["at"].isNotNull()),
         lambda x: F.struct(
-            x["seq"].alias("seq"), x["up"].alias("up"), _clean_text(x).alias("text"),
-            absolute(_attr(x, "href")).alias("href"),
+            x["up"].alias("up"), x["text"].alias("text"), x["at"]["href"].alias("href"),
+            F.coalesce(F.array_contains("_allowed", x["at"]["host"]), F.lit(False)).alias("internal"),
         ),
     )
-    df = df.withColumn("links", F.filter(links, lambda x: x["href"].isNotNull()))
     nav = _seqs(e, lambda x: x["tag"].isin("nav", "header") | _has_class(x, "menu") | (_attr(x, "id") == "menu"))
-    cta = _seqs(e, lambda x: _has_class(x, "cta"))
-    allowed = lambda x: U.host_allowed(x["href"], F.col("approved_hosts"))
-    hrefs = lambda rows: first_seen(F.transform(rows, lambda x: x["href"]))
-    df = (
-        df.withColumn("navigation_links", let(nav, lambda n: hrefs(_pick(F.col("links"), lambda x: F.arrays_overlap(x["up"], n)))))
-        .withColumn("internal_links", hrefs(_pick(F.col("links"), allowed)))
-        .withColumn("external_links", hrefs(_pick(F.col("links"), lambda x: ~allowed(x))))
-        .withColumn(
-            "documents",
-            F.transform(
-                _pick(F.col("links"), lambda x: U.is_document_href(x["href"])),
-                lambda x: F.struct(
-                    x["href"].alias("href"), _blank_to_null(x["text"]).alias("text"),
-                    U.file_type_from_href(x["href"]).alias("file_type"),
-                ),
-            ),
-        )
+    documents = F.transform(
+        _pick(links, lambda x: U.is_document_href(x["href"])),
+        lambda x: F.struct(
+            x["href"].alias("href"), _blank_to_null(x["text"]).alias("text"), U.file_type_from_href(x["href"]).alias("file_type")
+        ),
     )
+    return [
+        {"_links": flat, "_nav": nav},
+        {
+            "navigation_links": _hrefs(_pick(links, lambda x: F.arrays_overlap(x["up"], F.col("_nav")))),
+            "internal_links": _hrefs(_pick(links, lambda x: x["internal"])),
+            "external_links": _hrefs(_pick(links, lambda x: ~x["internal"])),
+            "documents": documents,
+        },
+    ]
+
+
+@built_once
+def _record_columns() -> list:
+    e = F.col("elements")
     button = lambda x: (x["tag"] == "button") | (txt(_attr(x, "role")) == "button") | _has_class(x, "btn", "button")
     is_cta = lambda x, n: (x["tag"] == "a") & (
         _has_class(x, "btn", "button") | txt(_attr(x, "class")).contains("cta") | F.arrays_overlap(x["up"], n)
     )
+    cta = _seqs(e, lambda x: _has_class(x, "cta"))
     first_attr = lambda rule, name: F.get(F.transform(_pick(e, rule), lambda x: _attr(x, name)), F.lit(0))
     meta = lambda key, value: first_attr(lambda x: (x["tag"] == "meta") & (_attr(x, key) == value), "content")
-    doc_type = lambda *t: hrefs(_pick(F.col("documents"), lambda d: d["file_type"].isin(*t)))
+    doc_type = lambda *t: _hrefs(_pick(F.col("documents"), lambda d: d["file_type"].isin(*t)))
     tools = F.filter(F.col("external_links"), lambda h: h.rlike(TOOL_HREF))
     summary = F.col("_text")
-    return df.select(
+    canonical = first_attr(lambda x: (x["tag"] == "link") & (_attr(x, "rel") == "canonical"), "href")
+    return [
         "project_slug", "page_id", "seq", "url",
-        F.coalesce(
-            absolute(first_attr(lambda x: (x["tag"] == "link") & (_attr(x, "rel") == "canonical"), "href")),
-            meta("property", "og:url"),
-        ).alias("canonical_url"),
+        F.coalesce(_absolute(canonical)["href"], meta("property", "og:url")).alias("canonical_url"),
         _blank_to_null(F.get(F.transform(_pick(e, lambda x: x["tag"] == "title"), _clean_text), F.lit(0))).alias("title"),
         _blank_to_null(js_trim(meta("name", "description"))).alias("meta_description"),
         _texts(e, "h1").alias("h1"), _texts(e, "h2").alias("h2"), _texts(e, "h3").alias("h3"),
@@ -148,50 +168,53 @@ def extract_pages(pages: DataFrame, projects: DataFrame) -> DataFrame:
         "navigation_links", "internal_links", "external_links",
         first_seen(F.transform(_pick(e, button), _clean_text)).alias("buttons"),
         let(cta, lambda n: first_seen(F.transform(_pick(e, lambda x: is_cta(x, n)), _clean_text))).alias("calls_to_action"),
-        _forms(e).alias("forms"),
-        _tables(e).alias("tables"),
-        _images(e, absolute).alias("images"),
+        _forms(e).alias("forms"), _tables(e).alias("tables"), _images(e).alias("images"),
         first_seen(
             F.transform(
                 _pick(e, lambda x: (x["tag"] == "iframe") & _attr(x, "src").isNotNull()),
-                lambda x: F.coalesce(absolute(_attr(x, "src")), _attr(x, "src")),
+                lambda x: F.coalesce(_absolute(_attr(x, "src"))["href"], _attr(x, "src")),
             )
         ).alias("iframes"),
         "documents",
-        doc_type("pdf").alias("pdf_links"),
-        doc_type("doc", "docx").alias("word_links"),
-        doc_type("xls", "xlsx", "csv").alias("spreadsheet_links"),
-        doc_type("dwg", "dxf", "rvt", "ifc").alias("cad_bim_links"),
+        doc_type("pdf").alias("pdf_links"), doc_type("doc", "docx").alias("word_links"),
+        doc_type("xls", "xlsx", "csv").alias("spreadsheet_links"), doc_type("dwg", "dxf", "rvt", "ifc").alias("cad_bim_links"),
         family_terms(summary).alias("product_family_terms"),
-        phone_numbers(summary).alias("phone_numbers"),
-        email_addresses(summary).alias("email_addresses"),
+        phone_numbers(summary).alias("phone_numbers"), email_addresses(summary).alias("email_addresses"),
         F.transform(tools, lambda h: F.struct(h.alias("href"), U.url_host(h).alias("host"))).alias("external_tools"),
         F.transform(_pick(e, lambda x: x["tag"] == "script"), lambda x: x["text"]).alias("json_ld"),
         "technology_indicators",
-    )
+    ]
 
 
 def _with_summary(df: DataFrame) -> DataFrame:
     """Adds the page text (main region if it has more than 40 characters, else the
     whole body) cleaned to 600 characters, and what the cleaning found."""
-    main = F.col("main_text")
-    df = df.withColumn("_cand", F.when(F.length(js_trim(main)) > 40, main).otherwise(F.col("body_text")))
-    df = normalize_text(df, "_cand", "_tq", 600)
-    retry = ~F.col("_tq.ok") & (main != "") & (main != F.col("_cand"))
-    df = normalize_text(df.withColumn("_again", F.when(retry, main)), "_again", "_tq2", 600)
-    recovered = retry & F.col("_tq2.ok")
-    noted = ~F.col("_tq.ok") | (F.size("_tq.issues") > 0)
+    for stage in _summary_stages():
+        df = normalize_text(df, "_cand", "_tq", 600) if stage is None else df.withColumns(stage)
+    return df.drop("_cand", "_short", "_back", "_tq", "body_text", "main_text")
+
+
+@built_once
+def _summary_stages() -> list[dict[str, Column] | None]:
+    main, c = F.col("main_text"), F.col
+    # A failed body falls back on a short main region. Such a text is too short to be
+    # salvaged, so the plain measures decide.
+    retry = ~c("_tq.ok") & (main != "") & (main != c("_cand")) & ~main.contains(chr(0))
+    short = collapse_space(decode_entities(strip_control_chars(strip_invisible(main))))
+    fine = (common_text_ratio("_short") >= 0.75) & (uncommon_char_ratio("_short") < 0.05) & (printable_ratio("_short") >= 0.7)
+    noted = ~c("_tq.ok") | (F.size("_tq.issues") > 0)
     log = F.struct(
-        F.col("_tq.ok").alias("ok"), F.col("_tq.issues").alias("issues"),
-        F.col("_tq.printable_ratio").alias("printable_ratio"),
-        F.col("_tq.common_text_ratio").alias("common_text_ratio"),
-        F.col("_tq.raw_preserved").alias("raw_preserved"),
-        F.coalesce(recovered, F.lit(False)).alias("recovered_from_main"),
-    )
-    df = df.withColumn("_text", F.when(recovered, F.col("_tq2.text")).otherwise(F.col("_tq.text")))
-    return df.withColumn("_log", F.when(noted, log)).drop(
-        "_cand", "_again", "_tq", "_tq2", "body_text", "main_text"
+        c("_tq.ok").alias("ok"), c("_tq.issues").alias("issues"), c("_tq.printable_ratio").alias("printable_ratio"),
+        c("_tq.common_text_ratio").alias("common_text_ratio"), c("_tq.raw_preserved").alias("raw_preserved"),
+        c("_back").alias("recovered_from_main"),
     )
+    return [
+        {"_cand": F.when(F.length(js_trim(main)) > 40, main).otherwise(c("body_text"))},
+        None,
+        {"_short": F.when(retry, short)},
+        {"_back": F.coalesce(fine, F.lit(False))},
+        {"_text": F.when(c("_back"), c("_short")).otherwise(c("_tq.text")), "_log": F.when(noted, log)},
+    ]
 
 
 def _forms(e: Column) -> Column:
@@ -260,12 +283,12 @@ def _tables(e: Column) -> Column:
     return F.transform(_pick(e, lambda x: x["tag"] == "table"), table)
 
 
-def _images(e: Column, absolute) -> Column:
+def _images(e: Column) -> Column:
     images = F.transform(
         _pick(e, lambda x: x["tag"] == "img"),
         lambda x: F.struct(
             F.coalesce(
-                absolute(F.coalesce(_blank_to_null(_attr(x, "src")), _attr(x, "data-src"))), txt(_attr(x, "src"))
+                _absolute(F.coalesce(_blank_to_null(_attr(x, "src")), _attr(x, "data-src")))["href"], txt(_attr(x, "src"))
             ).alias("src"),
             _attr(x, "alt").alias("alt"), _attr(x, "width").alias("width"), _attr(x, "height").alias("height"),
         ),

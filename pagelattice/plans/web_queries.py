@@ -36,7 +36,7 @@ def _web(d: Duck) -> dict[str, tuple[list[str], str]]:
         "w_sitemaps": (["w_pages"], f"""
             SELECT 'https://' || project_slug || '/sitemap-' || CAST(page_id AS STRING) || '.xml' AS url, '<urlset><url><LOC>' || url || '</LOC></url><url><loc>https://' || project_slug || '/login/' || CAST(page_id AS STRING) || '</loc></url></urlset>' AS xml, project_slug, page_id FROM w_pages"""),
         "w_fetch": (["w_pages"], f"""
-            SELECT project_slug, event_id AS seq, url, 1 + CAST(value AS BIGINT) % 3 AS attempts, event_type <> 'error' AS ok,
+            SELECT project_slug, event_id AS seq, url, 1 + CAST(floor(value) AS BIGINT) % 3 AS attempts, event_type <> 'error' AS ok,
               CASE WHEN event_type <> 'error' THEN NULL WHEN value < 10 THEN 'Timeout 45000ms exceeded' WHEN value < 20 THEN 'HTTP 429 Too Many Requests'
                 WHEN value < 30 THEN 'Download is starting' WHEN value < 40 THEN 'net::ERR_TOO_MANY_REDIRECTS' WHEN value < 50 THEN 'net::ERR_ABORTED' ELSE 'boom' END AS error
             FROM {d.t('events')} JOIN w_pages ON page_id = user_id"""),
@@ -86,7 +86,7 @@ def _rich(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- SQL pieces of the checks -------------------------------------------------------
 def _encode(p: str) -> str:
-    return rf"""array_to_string(list_transform(string_split({p}, ''), c -> CASE WHEN regexp_matches(c, '[^\x21-\x7e]|["<>`{{}}]') THEN url_encode(c) ELSE c END), '')"""
+    return rf"""array_to_string(list_transform(string_split({p}, ''), lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]|["<>`{{}}]') THEN url_encode(c) ELSE c END), '')"""
 
 
 def _canon(u: str, keep_www: bool = False) -> str:
@@ -94,7 +94,7 @@ def _canon(u: str, keep_www: bool = False) -> str:
     host = host if keep_www else f"regexp_replace({host}, '^www[.]', '')"
     raw = f"regexp_extract({u}, '^https?://[^/?#]*([^?#]*)', 1)"
     path = f"CASE WHEN {raw} IN ('', '/') THEN '/' ELSE regexp_replace({_encode(raw)}, '/$', '') END"
-    kept = f"list_filter(string_split(regexp_extract({u}, '[?]([^#]*)', 1), '&'), x -> x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({TRACKING}))"
+    kept = f"list_filter(string_split(regexp_extract({u}, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({TRACKING}))"
     qs = f"array_to_string({kept}, '&')"
     return f"CASE WHEN regexp_matches({u}, '^https?://') THEN 'https://' || {host} || {path} || CASE WHEN {qs} = '' THEN '' ELSE '?' || {qs} END END"
 
@@ -264,7 +264,7 @@ def page_titles(spark, folder):
 
 @query("page_navigation", _sql(["w_pages"], f"""
     + raw AS (SELECT project_slug, page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hs FROM w_pages),
-    u AS (SELECT project_slug, page_id, unnest(list_transform(hs, h -> 'https://' || project_slug || {_encode('h')})) AS href FROM raw)
+    u AS (SELECT project_slug, page_id, unnest(list_transform(hs, lambda h: 'https://' || project_slug || {_encode('h')})) AS href FROM raw)
     SELECT DISTINCT project_slug, page_id, CASE WHEN regexp_matches(href, '/$') AND length(href) > length('https://' || project_slug || '/') THEN regexp_replace(href, '/$', '') ELSE href END AS href FROM u"""))
 def page_navigation(spark, folder):
     return pages.page_navigation(_records(spark, folder)).select("project_slug", "page_id", "href")
@@ -288,7 +288,7 @@ def page_dedupe(spark, folder):
 
 @query("tech_indicators", _sql(["w_rich"], """
     SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '(?i)wp-content|wordpress') THEN 'WordPress' END, CASE WHEN regexp_matches(html, '(?i)yoast') THEN 'Yoast SEO' END,
-      CASE WHEN regexp_matches(html, '(?i)googleapis|gstatic') THEN 'Google Fonts/CDN' END], x -> x IS NOT NULL), ',') AS technologies FROM w_rich"""))
+      CASE WHEN regexp_matches(html, '(?i)googleapis|gstatic') THEN 'Google Fonts/CDN' END], lambda x: x IS NOT NULL), ',') AS technologies FROM w_rich"""))
 def tech_indicators(spark, folder):
     return _df(spark, folder, "w_rich").select("page_id", F.array_join(pages.technology_indicators(F.col("html")), ",").alias("technologies"))
 
@@ -496,7 +496,7 @@ _TOKEN = r"""(regexp_matches(x, '^[\d$\x{20AC}\x{A3}\x{A5}%+./:\-]+$') OR regexp
     OR regexp_matches(x, '^[A-Za-z][A-Za-z0-9''\x{2019}&+./\-]{0,40}[A-Za-z0-9]?[.:;,!?]?$') OR regexp_matches(x, '^[&\-\x{2014}/|\x{2022}()\[\]]$'))"""
 
 
-@query("english_tokens", rf"""WITH d AS ({_DAMAGE.format(documents='documents')}), k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '[\s\x0B\x{{A0}}\x{{FEFF}}\x{{2028}}\x{{2029}}\x{{3000}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{1680}}]+'), y -> y <> '')) AS x FROM d)
+@query("english_tokens", rf"""WITH d AS ({_DAMAGE.format(documents='documents')}), k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '[\s\x0B\x{{A0}}\x{{FEFF}}\x{{2028}}\x{{2029}}\x{{3000}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{1680}}]+'), lambda y: y <> '')) AS x FROM d)
     SELECT doc_id, count(*) AS tokens, count_if({_TOKEN}) AS english FROM k GROUP BY doc_id""")
 def english_tokens(spark, folder):
     toks = F.filter(F.split("t", f"[{T.JS_SPACE}]+"), lambda x: x != "")
@@ -514,17 +514,17 @@ _QUALITY = rf"""WITH d AS ({_DAMAGE.format(documents='documents')}),
     c AS (SELECT * REPLACE (trim(regexp_replace(t, '{_WS}', ' ', 'g')) AS t) FROM e),
     m AS (SELECT *, {_UNC('t')} AS u0, {_COM('t')} AS c0, {_UNC('substr(t, 1, 240)')} AS uh, {_COM('substr(t, 1, 240)')} AS ch, length(t) AS n FROM c),
     f AS (SELECT *, c0 < 0.85 AND n > 20 AS low, uh >= 0.08 OR u0 >= 0.04 AS dense FROM m),
-    k AS (SELECT *, list_filter(string_split(t, ' '), y -> y <> '') AS tok FROM f),
-    g AS (SELECT *, array_to_string(list_transform(tok, x -> CASE WHEN {_TOKEN} THEN '1' ELSE '0' END), '') AS fl FROM k),
+    k AS (SELECT *, list_filter(string_split(t, ' '), lambda y: y <> '') AS tok FROM f),
+    g AS (SELECT *, array_to_string(list_transform(tok, lambda x: CASE WHEN {_TOKEN} THEN '1' ELSE '0' END), '') AS fl FROM k),
     o AS (SELECT *, CASE WHEN (low OR ctl OR dense) AND (uh >= 0.08 OR u0 >= 0.04 OR ch < 0.9) AND len(tok) >= 6 AND regexp_matches(fl, '[01]1111|1[01]111|11[01]11|111[01]1|1111[01]')
         THEN length(regexp_extract(fl, '^(.*?)(?:[01]1111|1[01]111|11[01]11|111[01]1|1111[01])', 1)) + 1 END AS onset FROM g),
     p AS (SELECT *, onset + instr(substr(fl, onset), '1') - 1 AS st FROM o),
-    q AS (SELECT *, array_to_string(list_filter(list_transform(range(1, len(tok) + 1), i -> CASE WHEN i >= st AND (length(tok[i]) <= 2 OR substr(fl, i, 1) = '1' OR {_COM('tok[i]')} >= 0.85) THEN tok[i] END), y -> y IS NOT NULL), ' ') AS cut FROM p),
+    q AS (SELECT *, array_to_string(list_filter(list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN i >= st AND (length(tok[i]) <= 2 OR substr(fl, i, 1) = '1' OR {_COM('tok[i]')} >= 0.85) THEN tok[i] END), lambda y: y IS NOT NULL), ' ') AS cut FROM p),
     s AS (SELECT *, onset IS NOT NULL AND length(cut) >= 40 AND {_UNC('cut')} < u0 AND {_COM('cut')} >= 0.9 AS sal FROM q),
     z AS (SELECT *, CASE WHEN sal THEN cut ELSE t END AS txt, CASE WHEN sal THEN {_COM('cut')} ELSE c0 END AS cr, CASE WHEN sal THEN {_UNC('cut')} ELSE u0 END AS ur FROM s),
     y AS (SELECT *, sal AND ur < 0.02 AND cr >= 0.9 AS cleared, NOT ((cr < 0.7 AND length(txt) > 20) OR (ur >= 0.08 AND NOT sal)) AND cr >= 0.75 AND ur < 0.05 AS ok FROM z),
     w AS (SELECT *, list_filter([CASE WHEN rep THEN 'replacement_chars' END, CASE WHEN ctl AND NOT cleared THEN 'control_characters' END, CASE WHEN low AND NOT cleared THEN 'low_common_text_ratio' END,
-      CASE WHEN dense AND NOT cleared THEN 'uncommon_unicode_density' END, CASE WHEN sal THEN 'salvaged_readable_text' END], x -> x IS NOT NULL) AS issues FROM y)"""
+      CASE WHEN dense AND NOT cleared THEN 'uncommon_unicode_density' END, CASE WHEN sal THEN 'salvaged_readable_text' END], lambda x: x IS NOT NULL) AS issues FROM y)"""
 
 
 @query("text_normalize", _QUALITY + """

@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "pagelattice", **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call-site capture costs several JVM calls per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for k, v in settings.items():
