@@ -42,6 +42,33 @@ def built_once(fn):
     return inner
 
 
+class Tables(dict):
+    """Named tables that are only planned when someone asks for them."""
+
+    def __init__(self, makers: dict, **ready):
+        super().__init__(ready)
+        self._makers = makers
+
+    def __missing__(self, name: str):
+        self[name] = self._makers[name]()
+        return self[name]
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(name) or name in self._makers
+
+    def keys(self):
+        return list(dict.fromkeys([*super().keys(), *self._makers]))
+
+    def __iter__(self):
+        return iter(self.keys())
+
+    def items(self):
+        return [(k, self[k]) for k in self.keys()]
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+
 def txt(c: Column | str) -> Column:
     """NULL as the empty string."""
     return F.coalesce(col(c), F.lit(""))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.functions.core import js_number
+from pagelattice.functions.core import Tables, js_number
 from pagelattice.functions.keys import conflict_id
 
 # Entity types shared by all projects; how far apart scores conflict.
@@ -200,7 +200,7 @@ def drop_contribution(store: dict[str, DataFrame], projects: DataFrame) -> dict[
             .filter("n = g").select(F.col(owner).alias("id"))
         )
 
-    out = dict(store)
+    out = Tables({k: (lambda k=k: store[k]) for k in store})
     dead_e = orphaned(store["entity_links"], "entity_id")
     dead_r = orphaned(store["relationship_links"], "relationship_id")
     mine = F.col("kind") == "project"
@@ -230,23 +230,33 @@ def drop_contribution(store: dict[str, DataFrame], projects: DataFrame) -> dict[
 
 def merge_store(store: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All merges of one ingest; conflicts are found against the store as it was."""
-    found = score_conflicts(store, new)
-    out = {
-        "entities": merge_entities(store["entities"], new["entities"]),
-        "entity_props": merge_props(store["entity_props"], new["entity_props"]),
-        "relationships": merge_relationships(store["relationships"], new["relationships"]),
-        "relationship_links": merge_links(store["relationship_links"], new["relationship_links"], "relationship_links"),
-        "evidence": merge_evidence(store["evidence"], new["evidence"]),
-        "evidence_links": merge_links(store["evidence_links"], new["evidence_links"], "evidence_links"),
-        "conflicts": merge_conflicts(store["conflicts"], found) if "conflicts" in store else found,
-    }
-    links = merge_links(store["entity_links"], new["entity_links"], "entity_links").drop("inserted")
-    out["entity_links"] = links.unionByName(conflict_entity_links(found)).groupBy("entity_id", "kind", "value").agg(F.min("seq").alias("seq"))
-    members = conflict_links(found, store["entity_links"], new["entity_links"])
-    out["conflict_links"] = (
-        store["conflict_links"].unionByName(members).distinct() if "conflict_links" in store else members
+    made = Tables({"found": lambda: score_conflicts(store, new)})
+
+    def entity_links() -> DataFrame:
+        links = merge_links(store["entity_links"], new["entity_links"], "entity_links").drop("inserted")
+        both = links.unionByName(conflict_entity_links(made["found"]))
+        return both.groupBy("entity_id", "kind", "value").agg(F.min("seq").alias("seq"))
+
+    def all_conflict_links() -> DataFrame:
+        members = conflict_links(made["found"], store["entity_links"], new["entity_links"])
+        return store["conflict_links"].unionByName(members).distinct() if "conflict_links" in store else members
+
+    def plain(name: str):
+        return lambda: merge_links(store[name], new[name], name)
+
+    return Tables(
+        {
+            "entities": lambda: merge_entities(store["entities"], new["entities"]),
+            "entity_props": lambda: merge_props(store["entity_props"], new["entity_props"]),
+            "entity_links": entity_links,
+            "relationships": lambda: merge_relationships(store["relationships"], new["relationships"]),
+            "relationship_links": plain("relationship_links"),
+            "evidence": lambda: merge_evidence(store["evidence"], new["evidence"]),
+            "evidence_links": plain("evidence_links"),
+            "conflicts": lambda: merge_conflicts(store["conflicts"], made["found"]) if "conflicts" in store else made["found"],
+            "conflict_links": all_conflict_links,
+        }
     )
-    return out
 
 
 def ingest(
@@ -264,7 +274,8 @@ def ingest(
     """
     if changed is not None and not force:
         only = changed.select("project_slug").distinct()
-        new = {k: v.join(only, "project_slug", "left_semi") for k, v in new.items()}
+        given = new
+        new = Tables({k: (lambda k=k: given[k].join(only, "project_slug", "left_semi")) for k in given})
         active = projects.join(only, "project_slug", "left_semi")
     else:
         active = projects

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelattice.functions.core import Tables
 from pagelattice.plans.dialect import Duck, Spark
 
 SPLIT = "TIMESTAMP '1999-01-01 00:00:00'"
@@ -154,21 +155,27 @@ def ctes(d: Duck, names: list[str], extra: dict[str, tuple[list[str], str]] | No
     return "WITH " + ",\n".join(f"{n} AS ({steps[n][1]})" for n in done)
 
 
+_PLANNED: dict = {}
+
+
 def derived(spark: SparkSession, folder: str, name: str, extra=None) -> DataFrame:
-    d = Spark(folder)
-    return spark.sql(f"{ctes(d, [name], extra)} SELECT * FROM {name}")
+    """The derived table as a (lazy) DataFrame, planned once per session."""
+    key = (id(spark), folder, name)
+    if key not in _PLANNED:
+        _PLANNED[key] = spark.sql(f"{ctes(Spark(folder), [name], extra)} SELECT * FROM {name}")
+    return _PLANNED[key]
 
 
 def store(spark: SparkSession, folder: str, when: str = "all") -> dict[str, DataFrame]:
     """The shared store; 'all' or what was shipped before the split ('old')."""
-    out = {n: derived(spark, folder, f"store_{n}_{when}") for n in STORE_COLUMNS}
-    out["conflicts"] = spark.createDataFrame([], "id string, kind string, description string, entity_id string, blocks boolean, review_status string")
-    out["conflict_links"] = spark.createDataFrame([], "conflict_id string, kind string, value string")
-    return out
+    makers = {n: lambda n=n: derived(spark, folder, f"store_{n}_{when}") for n in STORE_COLUMNS}
+    makers["conflicts"] = lambda: spark.createDataFrame([], "id string, kind string, description string, entity_id string, blocks boolean, review_status string")
+    makers["conflict_links"] = lambda: spark.createDataFrame([], "conflict_id string, kind string, value string")
+    return Tables(makers)
 
 
 def new_slice(spark: SparkSession, folder: str, when: str = "new") -> dict[str, DataFrame]:
-    return {n: derived(spark, folder, f"{n}_{when}") for n in STORE_COLUMNS}
+    return Tables({n: lambda n=n: derived(spark, folder, f"{n}_{when}") for n in STORE_COLUMNS})
 
 
 def projects(spark: SparkSession, folder: str) -> DataFrame:

@@ -362,7 +362,7 @@ def rich_jsonld(spark, folder):
 
 @query("page_text_log")
 def page_text_log(spark, folder):
-    return pages.text_log(_records(spark, folder)).select("project_slug", "page_id" if False else "url", "ok", F.array_join("issues", ",").alias("issues"))
+    return pages.text_log(_records(spark, folder)).select("project_slug", "url", "ok", F.array_join("issues", ",").alias("issues"))
 
 
 @query("crawl_health", _sql(["w_candidates", "w_fetch"], _VERDICT + f""",
