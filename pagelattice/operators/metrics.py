@@ -44,7 +44,7 @@ def recommendation_confidence(store: dict) -> DataFrame:
     df = recs.join(support, "entity_id", "left")
     mean = F.coalesce("mean", F.lit(0.0))
     return df.select(
-        "entity_id", "name", F.coalesce("supports", F.lit(0)).alias("supports"), R.rounded_support(mean).alias("score"),
+        "entity_id", "name", F.coalesce("supports", F.lit(0)).alias("supports"), R.rounded_support(F.round(mean, 12)).alias("score"),
         R.support_label(F.round(mean, 12)).alias("label"),
         F.when(F.col("mean").isNull(), "no_supporting_evidence").otherwise("avg(confidenceWeight * reliabilityScore)").alias("method"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.functions.core import Tables
 from pagelattice.plans.dialect import Duck, Spark
+from pagelattice.session import written
 
 SPLIT = "TIMESTAMP '1999-01-01 00:00:00'"
 
@@ -155,15 +156,10 @@ def ctes(d: Duck, names: list[str], extra: dict[str, tuple[list[str], str]] | No
     return "WITH " + ",\n".join(f"{n} AS ({steps[n][1]})" for n in done)
 
 
-_PLANNED: dict = {}
-
-
 def derived(spark: SparkSession, folder: str, name: str, extra=None) -> DataFrame:
-    """The derived table as a (lazy) DataFrame, planned once per session."""
-    key = (id(spark), folder, name)
-    if key not in _PLANNED:
-        _PLANNED[key] = spark.sql(f"{ctes(Spark(folder), [name], extra)} SELECT * FROM {name}")
-    return _PLANNED[key]
+    """The derived table, written once per application (see `session.written`)."""
+    sql = f"{ctes(Spark(folder), [name], extra)} SELECT * FROM {name}"
+    return written(spark, (folder, name), lambda: spark.sql(sql))
 
 
 def store(spark: SparkSession, folder: str, when: str = "all") -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from pagelattice.plans.derived import ctes, derived, new_slice, projects, store
 from pagelattice.plans.dialect import Duck, Spark
 from pagelattice.plans.registry import query, table
 from pagelattice import schemas
+from pagelattice.session import written
 from pagelattice.sources import store as io
 
 D = Duck()
@@ -238,7 +239,7 @@ _CONFLICT = f"""
 
 
 def _conflicts(spark, folder):
-    return merge.score_conflicts(store(spark, folder, "old"), new_slice(spark, folder))
+    return written(spark, (folder, "conflicts"), lambda: merge.score_conflicts(store(spark, folder, "old"), new_slice(spark, folder)))
 
 
 @query("score_conflicts", _sql(["issue_old", "issue_new", "store_entities_old"], _CONFLICT + " SELECT * FROM cf"))
@@ -326,7 +327,7 @@ _PATTERN_NEEDS = ["issue_old", "issue_new", "store_entities_old", "store_entity_
 
 
 def _patterns(spark, folder):
-    return patterns.candidate_patterns(_conflicted(spark, folder))
+    return written(spark, (folder, "patterns"), lambda: patterns.candidate_patterns(_conflicted(spark, folder)))
 
 
 @query("candidate_patterns", _sql(_PATTERN_NEEDS, _PATTERN + " SELECT * FROM pt"))
@@ -414,11 +415,11 @@ def knowledge_evidence_status(spark, folder):
 
 
 @query("entity_evidence", _sql(["store_entity_links_all", "store_evidence_all"], """
-    SELECT entity_id, count(*) AS evidence, round(avg(reliability_score), 6) AS reliability FROM store_entity_links_all JOIN store_evidence_all ON value = id WHERE kind = 'evidence' GROUP BY 1"""))
+    SELECT entity_id, count(*) AS evidence, round(avg(reliability_score) + 1e-9, 6) AS reliability FROM store_entity_links_all JOIN store_evidence_all ON value = id WHERE kind = 'evidence' GROUP BY 1"""))
 def entity_evidence(spark, folder):
     s = store(spark, folder)
     df = knowledge.entity_evidence(s["entities"], s["entity_links"], s["evidence"])
-    return df.groupBy("entity_id").agg(F.count("*").alias("evidence"), F.round(F.avg("reliability_score"), 6).alias("reliability"))
+    return df.groupBy("entity_id").agg(F.count("*").alias("evidence"), F.round(F.avg("reliability_score") + 1e-9, 6).alias("reliability"))
 
 
 _HITS = """h AS (SELECT entity_id, CASE WHEN min(confidence) = max(confidence) THEN min(confidence) ELSE 'mixed' END AS confidence, count(*) AS evidence_count, count(DISTINCT source_url) AS url_count
@@ -577,8 +578,8 @@ _METRIC = """+ b AS (SELECT l.value AS project, e.id, e.type, e.epistemic_class
 
 
 @query("knowledge_metrics", _sql(_STORE + ["store_relationship_links_all"], _METRIC + """
-    SELECT project, types, entities, coalesce(r, 0) AS relationships, coalesce(v, 0) AS evidence, round(bf / facts, 6) AS evidence_completeness, round(coalesce(r, 0) / entities, 6) AS density, round(ac, 6) AS average_confidence,
-      round(ar, 6) AS average_reliability, round(coalesce(d, 0) / entities, 6) AS duplicate_rate FROM en LEFT JOIN du USING (project) LEFT JOIN rl USING (project) LEFT JOIN ev USING (project)"""))
+    SELECT project, types, entities, coalesce(r, 0) AS relationships, coalesce(v, 0) AS evidence, round(bf / facts + 1e-9, 6) AS evidence_completeness, round(coalesce(r, 0) / entities + 1e-9, 6) AS density, round(ac + 1e-9, 6) AS average_confidence,
+      round(ar + 1e-9, 6) AS average_reliability, round(coalesce(d, 0) / entities + 1e-9, 6) AS duplicate_rate FROM en LEFT JOIN du USING (project) LEFT JOIN rl USING (project) LEFT JOIN ev USING (project)"""))
 def knowledge_metrics(spark, folder):
     df = metrics.knowledge_metrics(store(spark, folder), ascii_only=True)
-    return df.select("project", "types", "entities", "relationships", "evidence", *[F.round(c, 6).alias(c) for c in ("evidence_completeness", "density", "average_confidence", "average_reliability", "duplicate_rate")])
+    return df.select("project", "types", "entities", "relationships", "evidence", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("evidence_completeness", "density", "average_confidence", "average_reliability", "duplicate_rate")])

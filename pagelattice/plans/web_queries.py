@@ -12,6 +12,7 @@ from pagelattice.operators import frontier, inventory, metrics, pages
 from pagelattice.plans.derived import ctes
 from pagelattice.plans.dialect import Duck, Spark
 from pagelattice.plans.registry import query, table
+from pagelattice.session import written
 
 TRACKING = ", ".join(f"'{p}'" for p in U.TRACKING_PARAMS)
 
@@ -77,11 +78,14 @@ def _rich_projects(spark: SparkSession) -> DataFrame:
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.extract_pages(_df(spark, folder, "w_pages").select("project_slug", "page_id", "seq", "url", "html"), _projects(spark, folder))
+    """Page records: the HTML is parsed once and written, all page queries read that."""
+    src = ["project_slug", "page_id", "seq", "url", "html"]
+    return written(spark, (folder, "records"), lambda: pages.extract_pages(_df(spark, folder, "w_pages").select(*src), _projects(spark, folder)))
 
 
 def _rich(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.extract_pages(_df(spark, folder, "w_rich").select("project_slug", "page_id", "seq", "url", "html"), _rich_projects(spark))
+    src = ["project_slug", "page_id", "seq", "url", "html"]
+    return written(spark, (folder, "rich"), lambda: pages.extract_pages(_df(spark, folder, "w_rich").select(*src), _rich_projects(spark)))
 
 
 # --- SQL pieces of the checks -------------------------------------------------------

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[tuple, str] = {}
+
+
 def build_session(master: str | None = None, app: str = "pagelattice", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; anything in ``conf`` wins."""
     b = SparkSession.builder.appName(app)
@@ -27,18 +33,36 @@ def build_session(master: str | None = None, app: str = "pagelattice", **conf: s
     return b.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it. A temporary folder is used only in local mode.
+    A temporary folder stands in for it only in local mode.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="pagelattice-")
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder; survives the loss of executors."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``make`` plans, written once per application to the shared folder.
+
+    Later steps read the Parquet files, so they prune columns, push filters down and do
+    not repeat the work behind the table.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _WRITTEN:
+        path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _WRITTEN[full] = path
+    return spark.read.parquet(_WRITTEN[full])
