@@ -42,8 +42,8 @@ def _web(d: Duck) -> dict[str, tuple[list[str], str]]:
                 WHEN value < 30 THEN 'Download is starting' WHEN value < 40 THEN 'net::ERR_TOO_MANY_REDIRECTS' WHEN value < 50 THEN 'net::ERR_ABORTED' ELSE 'boom' END AS error
             FROM {d.t('events')} JOIN w_pages ON page_id = user_id"""),
         "w_rich": ([], f"""
-            SELECT 'parts' AS project_slug, p_partkey AS page_id, p_partkey AS seq, 'http://www.parts.net/' || lower(p_type) || '/' || CAST(p_partkey AS STRING) || '/?utm_source=x&v=' || CAST(p_size AS STRING) AS url,
-              p_name, p_type, p_brand, p_size, p_partkey,
+            SELECT 'parts' AS project_slug, p_partkey AS page_id, p_partkey AS seq, 'http://www.parts.net/' || slot || '/' || CAST(p_partkey AS STRING) || '/?utm_source=x&v=' || CAST(p_size AS STRING) AS url,
+              p_name, p_type, p_brand, p_size, p_partkey, slot,
               '<html><head><title> ' || p_name || chr(10) || '  ' || p_brand || ' </title><meta name="description" content=" ' || CASE WHEN p_size > 40 THEN '' ELSE p_type || ' part' END || ' "><link rel="canonical" href="/c/' || CAST(p_partkey AS STRING) || '/">'
               || '<script type="application/ld+json">' || CASE WHEN p_size > 25 THEN '{{"@type":"' || p_type || '"}}' ELSE '{{broken ' || p_name END || '</script></head><body><nav><a href="/">Home</a><a href="../t">Up</a></nav>'
               || '<h1>' || p_name || '</h1><h2>' || p_type || '</h2><h2>' || p_type || '</h2><main>The ' || p_name || ' is a stud and track part of brand number ' || CAST(p_size AS STRING) || '. Call 555-123-' || lpad(CAST(p_size AS STRING), 4, '0')
@@ -53,7 +53,7 @@ def _web(d: Duck) -> dict[str, tuple[list[str], str]]:
               || '<img src="/wp-content/' || p_type || '.png" alt="' || CASE WHEN p_type = 'PROMO' THEN '' ELSE p_name END || '"><img data-src="i/' || CAST(p_size AS STRING) || '.jpg">'
               || '<a class="btn" href="/files/' || lower(p_type) || '.PDF">Get  sheet</a><a href="https://tools.example.org/calculator/' || CAST(p_size AS STRING) || '">Calc</a><a href="bim/' || CAST(p_partkey AS STRING) || '.dwg"> </a>'
               || '<iframe src="//maps.example.org/' || p_type || '"></iframe><button>Buy ' || p_type || '</button></body></html>' AS html
-            FROM {d.t('part')}"""),
+            FROM (SELECT *, CASE p_type WHEN 'PROMO' THEN 'catalog' WHEN 'SMALL' THEN 'document-tools' WHEN 'LARGE' THEN 'contact' ELSE lower(p_type) END AS slot FROM {d.t('part')}) u"""),
     }
     return out
 
@@ -297,7 +297,7 @@ def tech_indicators(spark, folder):
     return _df(spark, folder, "w_rich").select("page_id", F.array_join(pages.technology_indicators(F.col("html")), ",").alias("technologies"))
 
 
-_RICH_URL = "'https://parts.net/' || lower(p_type) || '/' || CAST(p_partkey AS STRING) || '?v=' || CAST(p_size AS STRING)"
+_RICH_URL = "'https://parts.net/' || slot || '/' || CAST(p_partkey AS STRING) || '?v=' || CAST(p_size AS STRING)"
 
 
 @query("rich_records", _sql(["w_rich"], f"""
@@ -331,14 +331,14 @@ def rich_tables(spark, folder):
 
 @query("rich_images", _sql(["w_rich"], """
     SELECT page_id, 'https://parts.net/wp-content/' || p_type || '.png' AS src, CASE WHEN p_type = 'PROMO' THEN '' ELSE p_name END AS alt FROM w_rich
-    UNION ALL SELECT page_id, 'https://parts.net/' || lower(p_type) || '/i/' || CAST(p_size AS STRING) || '.jpg', NULL FROM w_rich"""))
+    UNION ALL SELECT page_id, 'https://parts.net/' || slot || '/i/' || CAST(p_size AS STRING) || '.jpg', NULL FROM w_rich"""))
 def rich_images(spark, folder):
     return pages.page_images(_rich(spark, folder)).select("page_id", "src", "alt")
 
 
 @query("rich_documents", _sql(["w_rich"], f"""
     SELECT page_id, 'https://parts.net/files/' || lower(p_type) || '.PDF' AS href, 'Get sheet' AS title, 'pdf' AS file_type, {_RICH_URL} AS source_page_url FROM w_rich
-    UNION ALL SELECT page_id, 'https://parts.net/' || lower(p_type) || '/bim/' || CAST(p_partkey AS STRING) || '.dwg', CAST(p_partkey AS STRING) || '.dwg', 'dwg', {_RICH_URL} FROM w_rich"""))
+    UNION ALL SELECT page_id, 'https://parts.net/' || slot || '/bim/' || CAST(p_partkey AS STRING) || '.dwg', CAST(p_partkey AS STRING) || '.dwg', 'dwg', {_RICH_URL} FROM w_rich"""))
 def rich_documents(spark, folder):
     docs = pages.page_documents(_rich(spark, folder))
     inv = inventory.document_inventory(docs)
@@ -347,7 +347,7 @@ def rich_documents(spark, folder):
 
 
 @query("rich_link_lists", _sql(["w_rich"], """
-    SELECT page_id, 'https://parts.net/files/' || lower(p_type) || '.PDF' AS pdf, '' AS word, '' AS spreadsheet, 'https://parts.net/' || lower(p_type) || '/bim/' || CAST(p_partkey AS STRING) || '.dwg' AS cad_bim FROM w_rich"""))
+    SELECT page_id, 'https://parts.net/files/' || lower(p_type) || '.PDF' AS pdf, '' AS word, '' AS spreadsheet, 'https://parts.net/' || slot || '/bim/' || CAST(p_partkey AS STRING) || '.dwg' AS cad_bim FROM w_rich"""))
 def rich_link_lists(spark, folder):
     j = lambda c: F.array_join(c, ",")
     return _rich(spark, folder).select("page_id", j("pdf_links").alias("pdf"), j("word_links").alias("word"), j("spreadsheet_links").alias("spreadsheet"), j("cad_bim_links").alias("cad_bim"))
@@ -470,8 +470,9 @@ _RATIOS = rf"""
     CASE WHEN t = '' THEN 0.0 ELSE round(length(regexp_replace(t, '[{_COMMON}]', '', 'g')) / {_N16}, 6) END AS uncommon"""
 # Documents damaged in known ways: a foreign run in front, a control character inside,
 # entities, or zero-width characters, by language.
-_DAMAGE = """SELECT doc_id, lang, CASE lang WHEN 'fr' THEN repeat(chr(1041) || chr(1080) || ' ', 40) || text WHEN 'de' THEN text || chr(7) || ' &amp;lt; &#65;&#x42; &nbsp;end'
-    WHEN 'es' THEN chr(8203) || text || chr(65533) ELSE text END AS t FROM {documents}"""
+_RUN = chr(1041) + chr(1080) + " "
+_DAMAGE = f"""SELECT doc_id, lang, CASE lang WHEN 'fr' THEN repeat('{_RUN}', 40) || text WHEN 'de' THEN text || chr(7) || ' &amp;lt; &#65;&#x42; &nbsp;end'
+    WHEN 'es' THEN '{chr(0x200B)}' || text || '{chr(0xFFFD)}' ELSE text END AS t FROM {{documents}}"""
 
 
 def _damaged(spark, folder):
