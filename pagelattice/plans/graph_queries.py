@@ -305,6 +305,12 @@ def registry_upsert(spark, folder):
     return merge.upsert_by_key(base, delta, ["id"])
 
 
+def drawn_sql(items: str) -> str:
+    """The same draw in SQL: (id, event_id, ts, event_type)."""
+    one = lambda at: f"CAST('0x' || substr(sha256(id), {at}, 7) AS BIGINT) % (SELECT count(*) FROM events)"
+    return f"SELECT DISTINCT id, event_id, ts, event_type FROM (SELECT id, {one(1)} AS event_id FROM {items} UNION SELECT id, {one(8)} FROM {items}) JOIN events USING (event_id)"
+
+
 # --- Patterns -----------------------------------------------------------------------
 def _conflicted(spark, folder):
     """The whole store with the conflicts of the split."""
@@ -349,11 +355,7 @@ def inverted_index(spark, folder):
     return patterns.inverted_index(store(spark, folder))
 
 
-_DEC = "SELECT event_id, ts, CASE event_type WHEN 'purchase' THEN 'promote' ELSE 'reject' END AS decision, 'user-' || CAST(user_id AS STRING) AS reviewer, CAST(user_id AS STRING) AS u FROM events WHERE event_type IN ('purchase', 'error')"
-
-
-@query("pattern_decisions", _sql(_PATTERN_NEEDS, _PATTERN + f""", d AS ({_DEC}), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS c FROM pt),
-    l AS (SELECT DISTINCT ON (n.id) n.id, decision FROM d JOIN n ON CAST(u AS BIGINT) % c = i ORDER BY n.id, ts DESC, event_id DESC)
+@query("pattern_decisions", _sql(_PATTERN_NEEDS, _PATTERN + f""", l AS (SELECT DISTINCT ON (id) id, CASE event_type WHEN 'purchase' THEN 'promote' ELSE 'reject' END AS decision FROM ({drawn_sql('pt')}) WHERE event_type IN ('purchase', 'error') ORDER BY id, ts DESC, event_id DESC)
     SELECT pt.id, CASE WHEN decision = 'promote' AND NOT blocked THEN 'promoted' WHEN decision = 'promote' THEN 'refused' WHEN decision = 'reject' THEN 'rejected' ELSE 'none' END AS outcome,
       CASE WHEN decision = 'promote' AND NOT blocked THEN 'approved' WHEN decision = 'reject' THEN 'rejected' ELSE review_status END AS review_status FROM pt LEFT JOIN l USING (id)"""))
 def pattern_decisions(spark, folder):
@@ -362,18 +364,18 @@ def pattern_decisions(spark, folder):
 
 
 def _decisions(spark, folder, items, key_name, kinds, id_col="id"):
-    """Decisions made of events: user n decides on the n-th item (in id order)."""
-    from pyspark.sql import Window
-
-    ev = table(spark, folder, "events").filter(F.col("event_type").isin(list(kinds)))
+    """Decisions made of events: every item draws two events by its hash, and an event
+    of one of the given kinds is a decision on it."""
     kind = F.lit(None).cast("string")
     for event, name in kinds.items():
         kind = F.when(F.col("event_type") == event, name).otherwise(kind)
-    ev = ev.select("ts", F.col("event_id").alias("decision_id"), kind.alias("decision"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("reviewer"), F.lit("").alias("reason"), "user_id")
-    numbered = items.select(F.col(id_col).alias(key_name)).withColumn("i", F.row_number().over(Window.orderBy(key_name)) - 1)
-    total = numbered.agg(F.count("*").alias("c"))
-    ev = ev.join(F.broadcast(total), F.col("user_id") >= 0).withColumn("i", (F.col("user_id") % F.col("c")).cast("int"))
-    return ev.join(numbered, "i").drop("i", "c", "user_id")
+    events = table(spark, folder, "events")
+    total = events.agg(F.count("*")).scalar()
+    draw = lambda at: F.conv(F.substring(F.sha2(F.col(id_col), 256), at, 7), 16, 10).cast("bigint") % total
+    drawn = items.select(F.col(id_col).alias(key_name), F.explode(F.array_distinct(F.array(draw(1), draw(8)))).alias("event_id"))
+    return events.filter(F.col("event_type").isin(list(kinds))).join(drawn, "event_id").select(
+        key_name, "ts", F.col("event_id").alias("decision_id"), kind.alias("decision"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("reviewer"), F.lit("").alias("reason"))
 
 
 # --- Queries ------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pagelattice.operators import integrity, metrics, scoring
 from pagelattice.plans import web_queries as W
 from pagelattice.plans.derived import ctes, projects, store
 from pagelattice.plans.dialect import Duck
-from pagelattice.plans.graph_queries import _STORE, _conflicted, _decisions, _METRIC, _CONFLICT
+from pagelattice.plans.graph_queries import _CONFLICT, _METRIC, _STORE, _conflicted, _decisions, drawn_sql
 from pagelattice.plans.registry import query, table
 from pagelattice.session import written
 
@@ -142,8 +142,7 @@ def _reviewed(spark, folder):
     return written(spark, (folder, "reviewed"), lambda: C.apply_mapping_decisions(_mappings(spark, folder), _reviews(spark, folder)))
 
 
-_REV = _MAP + """, nm AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS c FROM mp),
-    dl AS (SELECT nm.id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'rejected' ELSE 'unresolved' END AS decision FROM events JOIN nm ON user_id % c = i WHERE event_type IN ('purchase', 'error', 'signup')),
+_REV = _MAP + f""", dl AS (SELECT id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'rejected' ELSE 'unresolved' END AS decision FROM ({drawn_sql('mp')}) WHERE event_type IN ('purchase', 'error', 'signup')),
     ld AS (SELECT DISTINCT ON (id) id, decision FROM dl ORDER BY id, ts DESC, event_id DESC),
     rv AS (SELECT mp.id, project, entity_id, label, CASE WHEN decision = 'confirmed' THEN 'canon_ring' ELSE concept_id END AS concept_id, CASE WHEN decision = 'confirmed' THEN greatest(confidence, 0.95) ELSE confidence END AS confidence,
       CASE WHEN decision = 'confirmed' THEN 'manually_reviewed' ELSE method END AS method, CASE decision WHEN 'confirmed' THEN 'confirmed' WHEN 'rejected' THEN 'rejected' WHEN 'unresolved' THEN CASE WHEN review_status = 'ambiguous' THEN 'ambiguous' ELSE 'unreviewed' END ELSE review_status END AS review_status,
@@ -356,7 +355,7 @@ def _obs_decisions(spark, folder):
     return d.withColumn("rationale", F.lit("seen")).withColumn("resulting_state", F.lit("present")).withColumn("resulting_normalized", F.lit(0.9))
 
 
-@query("observation_reviews", _sql(_OBS + """, nb AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS c FROM oi), dd AS (SELECT DISTINCT ON (nb.id) nb.id, event_type FROM events JOIN nb ON user_id % c = i WHERE event_type IN ('purchase', 'error', 'signup') ORDER BY nb.id, ts DESC, event_id DESC)
+@query("observation_reviews", _sql(_OBS + f""", dd AS (SELECT DISTINCT ON (id) id, event_type FROM ({drawn_sql('oi')}) WHERE event_type IN ('purchase', 'error', 'signup') ORDER BY id, ts DESC, event_id DESC)
     SELECT oi.id, CASE event_type WHEN 'signup' THEN 'present' WHEN 'error' THEN 'unknown' ELSE state END AS observed_state, CASE event_type WHEN 'signup' THEN 0.9 WHEN 'error' THEN NULL ELSE val END AS normalized_value, coalesce(event_type = 'signup', false) AS material_override FROM oi LEFT JOIN dd USING (id)""", _BN))
 def observation_reviews(spark, folder):
     return scoring.apply_observation_reviews(_obs(spark, folder), _obs_decisions(spark, folder)).select("id", "observed_state", "normalized_value", "material_override")
