@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.functions.core import Tables
 from pagelattice.plans.dialect import Duck, Spark
-from pagelattice.session import written
+from pagelattice.session import written_path
 
 SPLIT = "TIMESTAMP '1999-01-01 00:00:00'"
 
@@ -156,10 +156,19 @@ def ctes(d: Duck, names: list[str], extra: dict[str, tuple[list[str], str]] | No
     return "WITH " + ",\n".join(f"{n} AS ({steps[n][1]})" for n in done)
 
 
+def _path(spark: SparkSession, folder: str, name: str, extra=None) -> str:
+    """Every step is its own small job that reads the steps it needs from files."""
+    def make() -> DataFrame:
+        needs, select = {**_steps(Spark(folder)), **(extra or {})}[name]
+        given = [f"{n} AS (SELECT * FROM parquet.`{_path(spark, folder, n, extra)}`)" for n in needs]
+        return spark.sql((f"WITH {', '.join(given)} " if given else "") + select)
+
+    return written_path(spark, (folder, name), make)
+
+
 def derived(spark: SparkSession, folder: str, name: str, extra=None) -> DataFrame:
     """The derived table, written once per application (see `session.written`)."""
-    sql = f"{ctes(Spark(folder), [name], extra)} SELECT * FROM {name}"
-    return written(spark, (folder, name), lambda: spark.sql(sql))
+    return spark.read.parquet(_path(spark, folder, name, extra))
 
 
 def store(spark: SparkSession, folder: str, when: str = "all") -> dict[str, DataFrame]:

@@ -54,15 +54,20 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``make`` plans, written once per application to the shared folder.
-
-    Later steps read the Parquet files, so they prune columns, push filters down and do
-    not repeat the work behind the table.
-    """
+def written_path(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> str:
+    """Where the table ``make`` plans is written, once per application."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _WRITTEN:
         path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         make().write.parquet(path)
         _WRITTEN[full] = path
-    return spark.read.parquet(_WRITTEN[full])
+    return _WRITTEN[full]
+
+
+def written(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``make`` plans, written once to the shared folder and read back.
+
+    Later steps read the Parquet files, so they prune columns, push filters down and do
+    not repeat the work behind the table.
+    """
+    return spark.read.parquet(written_path(spark, key, make))
