@@ -27,10 +27,7 @@ FACT_RULES = [
 # Pages that describe products; products added when named anywhere.
 PRODUCT_PAGE = "(?i)product|stud|track|joist|nitro|framing|catalog"
 NAMED_PRODUCTS = [("NITROSTUD", "nitrostud", "(?i)nitrostud")]
-NO_SUMMARY = "Summary unavailable " + chr(0x2014) + (
-    " text normalization failed on crawled homepage content."
-    " See source/pages.json and source/text-normalize-log.json."
-)
+NO_SUMMARY = "Summary unavailable " + chr(0x2014) + " text normalization failed on crawled homepage content."
 PRODUCT_NOTE = "Extracted from public page inventory; attributes require structured table parsing."
 NAMED_NOTE = "Name observed in crawl corpus; verify product-detail completeness."
 # Labels of representative pages as (label, pattern, also search headings).

@@ -387,10 +387,10 @@ def knowledge_company(spark, folder):
 
 
 @query("knowledge_industry", _sql(["store_entities_all", "store_relationships_all"], """
-    + i AS (SELECT id FROM store_entities_all WHERE type = 'Industry' AND contains(normalized_key, 'an')), a AS (SELECT id, 2 AS step FROM i UNION ALL SELECT from_id, 3 FROM store_relationships_all WHERE type = 'COMPANY_OPERATES_IN_INDUSTRY' AND to_id IN (SELECT id FROM i))
+    + i AS (SELECT id FROM store_entities_all WHERE type = 'Industry' AND contains(normalized_key, 'natio')), a AS (SELECT id, 2 AS step FROM i UNION ALL SELECT from_id, 3 FROM store_relationships_all WHERE type = 'COMPANY_OPERATES_IN_INDUSTRY' AND to_id IN (SELECT id FROM i))
     SELECT e.id, e.type, e.name FROM store_entities_all e JOIN a USING (id) ORDER BY step, seq, id LIMIT 50"""))
 def knowledge_industry(spark, folder):
-    return knowledge.query(store(spark, folder), industry="an")["entities"].select("id", "type", "name")
+    return knowledge.query(store(spark, folder), industry="natio")["entities"].select("id", "type", "name")
 
 
 @query("knowledge_type_project", _sql(["store_entities_all", "store_entity_links_all"], """
