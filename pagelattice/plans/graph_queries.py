@@ -386,8 +386,9 @@ def knowledge_company(spark, folder):
     return knowledge.query(store(spark, folder), company="Supplier#000000001")["entities"].select("id", "type", "name")
 
 
-@query("knowledge_industry", _sql(["store_entities_all", "store_relationships_all"], """
-    + i AS (SELECT id FROM store_entities_all WHERE type = 'Industry' AND contains(normalized_key, 'natio')), a AS (SELECT id, 2 AS step FROM i UNION ALL SELECT from_id, 3 FROM store_relationships_all WHERE type = 'COMPANY_OPERATES_IN_INDUSTRY' AND to_id IN (SELECT id FROM i))
+@query("knowledge_industry", _sql(["store_entities_all", "store_entity_props_all", "store_relationships_all"], """
+    + i AS (SELECT id FROM store_entities_all WHERE type = 'Industry' AND contains(normalized_key, 'natio') UNION SELECT entity_id FROM store_entity_props_all WHERE prop = 'industry' AND contains(lower(value), 'natio')),
+    a AS (SELECT id, min(step) AS step FROM (SELECT id, 2 AS step FROM i UNION ALL SELECT from_id, 3 FROM store_relationships_all WHERE type = 'COMPANY_OPERATES_IN_INDUSTRY' AND to_id IN (SELECT id FROM i)) GROUP BY 1)
     SELECT e.id, e.type, e.name FROM store_entities_all e JOIN a USING (id) ORDER BY step, seq, id LIMIT 50"""))
 def knowledge_industry(spark, folder):
     return knowledge.query(store(spark, folder), industry="natio")["entities"].select("id", "type", "name")
