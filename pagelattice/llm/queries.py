@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import language, mixing, neardup, token_counts, topk
+from pagelattice.llm import decontaminate, language, licenses, lines, mixing, neardup, token_counts, topk
 from pagelattice.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+@_query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    templates = spark.createDataFrame(licenses.NOTICES, "license string, text string")
+    return licenses.scan(licenses.page_files(table(spark, folder, "pages")), templates, any_notice=True)
+
+
 @_query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -43,6 +49,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit")
 
 
+@_query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @_query
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.quantized(table(spark, folder, "embeddings"))
@@ -62,3 +73,8 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.kept_lines(table(spark, folder, "documents"))

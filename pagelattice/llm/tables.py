@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.session import shared_folder
@@ -31,3 +31,14 @@ def settled(df: DataFrame) -> DataFrame:
 def rows_per(df_rows: int, each: int) -> int:
     """How many buckets of about ``each`` rows hold ``df_rows`` rows."""
     return max(1, -(-df_rows // each))
+
+
+def maybe_among(df: DataFrame, value: Column, wanted: DataFrame, bits: int = 18) -> DataFrame:
+    """The rows whose ``value`` may be the one column of ``wanted``: a superset, found without a shuffle.
+
+    What is broadcast are distinct ``bits``-bit remnants of hashes, so at most 2**bits numbers whatever the size of
+    ``wanted``; an exact join has to follow. With very many wanted values it keeps most rows, and loses none.
+    """
+    remnant = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    few = wanted.select(remnant(F.col(wanted.columns[0])).alias("remnant")).distinct()
+    return df.join(F.broadcast(few), remnant(value) == F.col("remnant"), "left_semi")
