@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import decontaminate, language, licenses, lines, mixing, neardup, token_counts, topk
+from pagelattice.llm import backoff, decontaminate, language, licenses, lines, mixing, neardup, repeats, token_counts, topk
 from pagelattice.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,44 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+@_query
+def op1_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.score(table(spark, folder, "documents"))
+
+
+ORACLES["op1_lm_scores"] = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), p AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t
+), g AS (
+  SELECT *, lag(w) OVER d AS w1, lag(w, 2) OVER d AS w2 FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), c AS (
+  SELECT *,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+    count(*) OVER (PARTITION BY w1, w) - count(*) OVER (PARTITION BY doc_id, w1, w) AS c2,
+    count(*) OVER (PARTITION BY w2, w1, w) - count(*) OVER (PARTITION BY doc_id, w2, w1, w) AS c3,
+    count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
+  FROM g
+), h AS (
+  SELECT *, lag(c1) OVER d AS d2, lag(c2) OVER d AS d3, least(i, 3) AS longest
+  FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), u AS (
+  SELECT *, CASE WHEN longest = 3 AND c3 > 0 THEN 3 WHEN longest >= 2 AND c2 > 0 THEN 2 ELSE 1 END AS used FROM h
+), v AS (
+  SELECT doc_id, used, CAST(round(1000000 * (
+    ln(greatest(CASE used WHEN 3 THEN c3 WHEN 2 THEN c2 ELSE c1 END, 1)) - ln(greatest(CASE used WHEN 3 THEN d3 WHEN 2 THEN d2 ELSE n END, 1))
+    + (longest - used) * ln(0.4::DOUBLE))) AS BIGINT) AS s
+  FROM u
+)
+SELECT t.doc_id, count(v.s) AS n_words, CAST(coalesce(sum(v.s), 0) AS BIGINT) AS log_score,
+  count(CASE WHEN used = 1 THEN 1 END) AS n_order_1, count(CASE WHEN used = 2 THEN 1 END) AS n_order_2, count(CASE WHEN used = 3 THEN 1 END) AS n_order_3
+FROM t LEFT JOIN v USING (doc_id) GROUP BY t.doc_id
+"""
+
+
 @_query
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -54,6 +92,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@_query
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(table(spark, folder, "documents"))
+
+
 @_query
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.quantized(table(spark, folder, "embeddings"))

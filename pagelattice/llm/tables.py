@@ -33,12 +33,23 @@ def rows_per(df_rows: int, each: int) -> int:
     return max(1, -(-df_rows // each))
 
 
+def _remnants(wanted: DataFrame, bits: int) -> DataFrame:
+    return F.broadcast(wanted.select(_remnant(F.col(wanted.columns[0]), bits).alias("remnant")).distinct())
+
+
+def _remnant(value: Column, bits: int) -> Column:
+    return F.xxhash64(value).bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def maybe_among(df: DataFrame, value: Column, wanted: DataFrame, bits: int = 18) -> DataFrame:
     """The rows whose ``value`` may be the one column of ``wanted``: a superset, found without a shuffle.
 
     What is broadcast are distinct ``bits``-bit remnants of hashes, so at most 2**bits numbers whatever the size of
     ``wanted``; an exact join has to follow. With very many wanted values it keeps most rows, and loses none.
     """
-    remnant = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-    few = wanted.select(remnant(F.col(wanted.columns[0])).alias("remnant")).distinct()
-    return df.join(F.broadcast(few), remnant(value) == F.col("remnant"), "left_semi")
+    return df.join(_remnants(wanted, bits), _remnant(value, bits) == F.col("remnant"), "left_semi")
+
+
+def not_among(df: DataFrame, value: Column, wanted: DataFrame, bits: int = 18) -> DataFrame:
+    """The other rows: those whose ``value`` surely is not in ``wanted``."""
+    return df.join(_remnants(wanted, bits), _remnant(value, bits) == F.col("remnant"), "left_anti")
