@@ -163,6 +163,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, settings: Settings) -> Model:
     """FTRL-proximal with elastic net on the first rows, then a temperature on the rest."""
     languages = sorted({r[0] for r in rows})
+    if not languages:
+        return Model([], idf, np.zeros((len(idf), 0)), np.zeros(0), 1.0, settings.bits, settings.orders)
     size, k = 1 << settings.bits, len(languages)
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))  # the last row is the bias
 
