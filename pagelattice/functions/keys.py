@@ -28,8 +28,8 @@ def _dashed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
-def normalize_key(value: Column | str, ascii_only: bool = False) -> Column:
-    """Lower-case dashed key, at most 160 characters.
+def normalize_key(value: Column | str, ascii_only: bool = False, max_chars: int | None = None) -> Column:
+    """Lower-case dashed key, whole unless ``max_chars`` is given.
 
     Python sees only the non-ASCII strings (all others reach it as NULL). Pass
     ``ascii_only=True`` where the input cannot hold anything else: the expression
@@ -39,19 +39,19 @@ def normalize_key(value: Column | str, ascii_only: bool = False) -> Column:
     if not ascii_only:
         needs_fold = low.rlike(r"[^\x00-\x7f]")
         low = F.when(needs_fold, _fold_marks(F.when(needs_fold, low))).otherwise(low)
-    return F.substring(_dashed(low), 1, 160)
+    return _dashed(low) if max_chars is None else F.substring(_dashed(low), 1, max_chars)
 
 
 def slugify(value: Column | str) -> Column:
     return _dashed(F.lower(col(value)))
 
 
-def stable_hash(*parts: Column | str) -> Column:
-    """First 16 hex digits of sha256 over the parts joined by '|' (NULL as '')."""
-    return F.substring(F.sha2(F.concat_ws("|", *[txt(p) for p in parts]), 256), 1, 16)
+def stable_hash(*parts: Column | str, digits: int = 32) -> Column:
+    """First ``digits`` hex digits (128 bits by default) of sha256 over the parts joined by '|' (NULL as '')."""
+    return F.substring(F.sha2(F.concat_ws("|", *[txt(p) for p in parts]), 256), 1, digits)
 
 
-def digest(*parts: Column | str, size: int = 24, tag: str = "") -> Column:
+def digest(*parts: Column | str, size: int = 32, tag: str = "") -> Column:
     """Content digest of a record: equal records, equal digests."""
     return F.substring(F.sha2(F.concat_ws("|", F.lit(tag), *[txt(p) for p in parts]), 256), 1, size)
 
@@ -91,4 +91,4 @@ def key_of(text: str) -> str:
     import re
 
     plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
-    return re.sub(r"^-+|-+$", "", re.sub(r"[^a-z0-9]+", "-", plain))[:160]
+    return re.sub(r"^-+|-+$", "", re.sub(r"[^a-z0-9]+", "-", plain))

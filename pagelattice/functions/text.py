@@ -202,14 +202,15 @@ def _salvage_stages(text: str, out: str, when: str | None) -> list[dict[str, Col
     ]
 
 
-def normalize_text(df: DataFrame, text: str, out: str = "tq", max_length: int = 10_000) -> DataFrame:
+def normalize_text(df: DataFrame, text: str, out: str = "tq", max_length: int | None = None) -> DataFrame:
     """Adds ``out`` STRUCT<text, ok, printable_ratio, common_text_ratio, issues,
-    confidence_penalty, raw_preserved>: the text cleaned and judged."""
+    confidence_penalty, raw_preserved>: the text cleaned and judged, whole unless
+    ``max_length`` is given."""
     return _staged(df, _normalize_stages(text, out, max_length), f"_{out}_")
 
 
 @built_once
-def _normalize_stages(text: str, out: str, max_length: int) -> list[dict[str, Column]]:
+def _normalize_stages(text: str, out: str, max_length: int | None) -> list[dict[str, Column]]:
     p = f"_{out}_"
     c = lambda name: F.col(p + name)
     dirty = c("rest0").rlike(f"[{CONTROL_CLASS}]|{ZERO_WIDTH}|{BIDI}|{REPLACEMENT}")
@@ -232,7 +233,7 @@ def _normalize_stages(text: str, out: str, max_length: int) -> list[dict[str, Co
         | (c("pr") < 0.5)
     )
     penalty = F.when(~c("ok"), 0.35).when(c("sal"), 0.12).when(F.size(c("issues")) > 0, 0.1).otherwise(0.0)
-    cut = F.when(
+    cut = c("text") if max_length is None else F.when(
         c("size") > max_length, F.concat(head(c("text"), max_length), F.lit(chr(0x2026)))
     ).otherwise(c("text"))
     sv = F.col(f"{p}sv")
@@ -290,7 +291,7 @@ def _normalize_stages(text: str, out: str, max_length: int) -> list[dict[str, Co
 
 def needs_text_repair(df: DataFrame, summary: str, out: str = "needs_repair") -> DataFrame:
     """Adds the flag for a summary that is missing, failed or only partly readable."""
-    df = normalize_text(df, summary, f"{out}_tq", 2000)
+    df = normalize_text(df, summary, f"{out}_tq")
     tq, s = F.col(f"{out}_tq"), F.col(summary)
     bad = (
         s.isNull() | (s == "") | s.startswith("[text extraction failed")

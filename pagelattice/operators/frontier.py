@@ -9,9 +9,6 @@ from pagelattice.functions import urls as U
 from pagelattice.functions.core import strings
 from pagelattice.session import reliable_checkpoint
 
-# Fixed value: the most pages a project may ask for.
-MAX_CRAWL_PAGES = 200
-
 
 def robots_table(robots: DataFrame) -> DataFrame:
     """project_slug, text -> project_slug, disallow, sitemaps."""
@@ -63,9 +60,11 @@ def frontier_gate(
 
 
 def next_frontier(
-    links: DataFrame, seen: DataFrame, projects: DataFrame, rules: DataFrame | None = None, capped: bool = True
+    links: DataFrame, seen: DataFrame, projects: DataFrame, rules: DataFrame | None = None, capped: bool = True, most: int | None = None
 ) -> DataFrame:
-    """Unseen admissible link targets, first come first served up to the page budget.
+    """Unseen admissible link targets, first come first served up to each project's own page budget.
+
+    A project without ``max_crawl_pages`` has no budget; ``most`` bounds every budget.
 
     ``links``: project_slug, seq, href (already internal); ``seen``: project_slug, url.
     """
@@ -86,9 +85,12 @@ def next_frontier(
         return fresh.select("project_slug", "url", "seq")
     w = Window.partitionBy("project_slug").orderBy("seq", "url")
     used = seen.select("project_slug", "url").distinct().groupBy("project_slug").agg(F.count("*").alias("used"))
-    ranked = fresh.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_CRAWL_PAGES)
+    ranked = fresh.withColumn("rn", F.row_number().over(w))
+    if most is not None:
+        ranked = ranked.filter(F.col("rn") <= most)
     budget = F.col("max_crawl_pages") - F.coalesce(F.col("used"), F.lit(0))
-    return ranked.join(used, "project_slug", "left").filter(F.col("rn") <= budget).select("project_slug", "url", "seq")
+    within = F.col("max_crawl_pages").isNull() | (F.col("rn") <= budget)
+    return ranked.join(used, "project_slug", "left").filter(within).select("project_slug", "url", "seq")
 
 
 def link_reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -152,10 +154,11 @@ def fetch_outcomes(fetch_log: DataFrame) -> DataFrame:
     )
 
 
-def failure_samples(fetch_log: DataFrame, n: int = 40) -> DataFrame:
-    """The first n failures per project."""
+def failure_samples(fetch_log: DataFrame, n: int | None = None) -> DataFrame:
+    """The failures per project in order: all, or the first ``n``."""
     w = Window.partitionBy("project_slug").orderBy("seq", "url")
-    df = fetch_log.filter(~F.col("ok")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    df = fetch_log.filter(~F.col("ok")).withColumn("rn", F.row_number().over(w))
+    df = df if n is None else df.filter(F.col("rn") <= n)
     kind = U.classify_fetch_error("error")["kind"]
     return df.select("project_slug", "rn", "url", F.coalesce("error", F.lit("unknown")).alias("error"), kind.alias("kind"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import urls as U
 from pagelattice.functions.core import compact, js_round, txt, word
-from pagelattice.functions.text import head, normalize_text
+from pagelattice.functions.text import normalize_text
 
 # Facts read off the home page as (section, pattern, claim, confidence, kind, notes);
 # no pattern means the fact is always stated.
@@ -94,8 +94,8 @@ def rule_facts(home: DataFrame, rules: list = FACT_RULES) -> DataFrame:
     )
 
 
-def contact_facts(records: DataFrame, home: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Phone and e-mail facts, the first ten of each per project by default."""
+def contact_facts(records: DataFrame, home: DataFrame, limit: int | None = None) -> DataFrame:
+    """Phone and e-mail facts of each project: all, or the first ``limit`` of each."""
     def facts(column: str, label: str, base: int) -> DataFrame:
         v = project_values(records, column, limit)
         return v.select(
@@ -114,7 +114,7 @@ def contact_facts(records: DataFrame, home: DataFrame, limit: int | None = 10) -
 def company_profiles(records: DataFrame, projects: DataFrame) -> DataFrame:
     """One profile row per project; its facts are `rule_facts` and `contact_facts`."""
     home = homepages(records).withColumnRenamed("url", "home_url")
-    df = normalize_text(home, "main_text_summary", "tq", 500)
+    df = normalize_text(home, "main_text_summary", "tq")
     summary = F.when(F.col("tq.ok"), F.col("tq.text")).otherwise(F.lit(NO_SUMMARY))
     p = projects.select(
         F.col("slug").alias("project_slug"), F.col("name").alias("company_name"), "website_url", "industry"
@@ -134,7 +134,7 @@ def _searched(headings: bool) -> Column:
 
 def product_inventory(records: DataFrame, max_per_project: int | None = None) -> DataFrame:
     """Product pages, plus named products that no product page carries yet."""
-    description = head(F.col("main_text_summary"), 280)
+    description = F.col("main_text_summary")
     base = records.select(
         "project_slug", "seq", "url", "title", "h1", "main_text_summary", "pdf_links", "product_family_terms",
         _searched(True).rlike(PRODUCT_PAGE).alias("is_product"),
@@ -143,7 +143,7 @@ def product_inventory(records: DataFrame, max_per_project: int | None = None) ->
     pages = base.filter("is_product").select(
         "project_slug", "seq", name.alias("name"),
         F.get("product_family_terms", F.lit(0)).alias("family"), description.alias("description"),
-        F.col("url").alias("source_url"), F.slice("pdf_links", 1, 5).alias("documents"),
+        F.col("url").alias("source_url"), F.col("pdf_links").alias("documents"),
         F.lit("medium").alias("confidence"), F.lit(PRODUCT_NOTE).alias("notes"),
     )
     pages = cap(pages, max_per_project, ["project_slug"], ["seq"])
@@ -159,8 +159,8 @@ def product_inventory(records: DataFrame, max_per_project: int | None = None) ->
         listed = pages.filter(F.col("name").rlike(pattern)).select("project_slug").distinct()
         extra = best.join(listed, "project_slug", "left_anti").select(
             "project_slug", F.lit(-1).cast("bigint").alias("seq"), F.lit(label).alias("name"),
-            F.lit(family).alias("family"), head(F.col("p.main_text_summary"), 280).alias("description"),
-            F.col("p.url").alias("source_url"), F.slice("p.pdf_links", 1, 5).alias("documents"),
+            F.lit(family).alias("family"), F.col("p.main_text_summary").alias("description"),
+            F.col("p.url").alias("source_url"), F.col("p.pdf_links").alias("documents"),
             F.lit("medium").alias("confidence"), F.lit(NAMED_NOTE).alias("notes"),
         )
         out = out.unionByName(extra)

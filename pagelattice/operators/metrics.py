@@ -130,11 +130,12 @@ def overall_confidence(crawl: Column, knowledge: Column, summary_ok: Column, rel
     return crawl * 0.25 + knowledge * 0.3 + summary + reliability * 0.15 + completeness * 0.15
 
 
-def lowest_confidence(evidence: DataFrame, n: int = 15) -> DataFrame:
-    """The first n low-confidence findings per project."""
+def lowest_confidence(evidence: DataFrame, n: int | None = None) -> DataFrame:
+    """The low-confidence findings per project in order: all, or the first ``n``."""
     w = Window.partitionBy("source_project").orderBy("seq", "id")
-    df = evidence.filter("confidence = 'low'").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
-    return df.select(F.col("source_project").alias("project"), "rn", "id", "reliability_score", F.substring(txt("excerpt"), 1, 120).alias("excerpt"))
+    df = evidence.filter("confidence = 'low'").withColumn("rn", F.row_number().over(w))
+    df = df if n is None else df.filter(F.col("rn") <= n)
+    return df.select(F.col("source_project").alias("project"), "rn", "id", "reliability_score", txt("excerpt").alias("excerpt"))
 
 
 def knowledge_metrics(store: dict, ascii_only: bool = False) -> DataFrame:
@@ -145,7 +146,7 @@ def knowledge_metrics(store: dict, ascii_only: bool = False) -> DataFrame:
     member = store["entity_links"].filter("kind = 'project'").select("entity_id", c("value").alias("project"))
     backed = store["entity_links"].filter("kind = 'evidence'").select("entity_id").distinct().withColumn("backed", F.lit(True))
     e = store["entities"].select(
-        c("id").alias("entity_id"), "type", "epistemic_class", F.substring(normalize_key("name", ascii_only), 1, 80).alias("nk")
+        c("id").alias("entity_id"), "type", "epistemic_class", normalize_key("name", ascii_only).alias("nk")
     )
     base = member.join(e, "entity_id").join(backed, "entity_id", "left")
     fact = c("epistemic_class") == "fact"

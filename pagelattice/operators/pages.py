@@ -188,9 +188,9 @@ def _record_columns() -> list:
 
 def _with_summary(df: DataFrame) -> DataFrame:
     """Adds the page text (main region if it has more than 40 characters, else the
-    whole body) cleaned to 600 characters, and what the cleaning found."""
+    whole body) cleaned, and what the cleaning found."""
     for stage in _summary_stages():
-        df = normalize_text(df, "_cand", "_tq", 600) if stage is None else df.withColumns(stage)
+        df = normalize_text(df, "_cand", "_tq") if stage is None else df.withColumns(stage)
     return df.drop("_cand", "_short", "_back", "_tq", "body_text", "main_text")
 
 
@@ -276,7 +276,7 @@ def _tables(e: Column) -> Column:
                 _blank_to_null(js_trim(F.array_join(captions, ""))).alias("caption"),
                 h.alias("headers"),
                 F.greatest(F.lit(0), F.size(rows) - F.when(F.size(h) > 0, 1).otherwise(0)).alias("row_count"),
-                F.slice(row_texts, 2, 5).alias("sample_rows"),
+                F.slice(row_texts, 2, F.greatest(F.size(row_texts), F.lit(1))).alias("sample_rows"),
             ),
         )
 
@@ -345,12 +345,12 @@ def page_tools(records: DataFrame) -> DataFrame:
 
 
 def page_jsonld(records: DataFrame) -> DataFrame:
-    """JSON-LD blocks; a block that is no JSON keeps its first 200 characters."""
+    """JSON-LD blocks, whole, with a flag for those that are no JSON."""
     df = _child(records, "json_ld", "raw").withColumn("doc", F.try_parse_json("raw"))
     return df.select(
         "project_slug", "page_id", "page_url", "pos",
         F.col("doc").isNull().alias("parse_error"),
-        F.when(F.col("doc").isNull(), F.substring("raw", 1, 200)).otherwise(F.col("raw")).alias("content"),
+        F.col("raw").alias("content"),
         F.try_variant_get("doc", "$['@type']", "string").alias("ld_type"),
     )
 

@@ -231,7 +231,7 @@ def observe(mappings: DataFrame, store: dict, projects: DataFrame, definition: D
         .otherwise("").alias("ambiguity"),
         "synthetic", note.alias("notes"),
     )
-    oid = F.substring(F.sha2(F.concat_ws("|", "project", F.lit(d.id), F.lit(d.version), "concept_id", "dimension_id", "observed_state"), 256), 1, 16)
+    oid = F.substring(F.sha2(F.concat_ws("|", "project", F.lit(d.id), F.lit(d.version), "concept_id", "dimension_id", "observed_state"), 256), 1, 32)
     return df.select(F.concat(F.lit("bobs_"), oid).alias("id"), "*")
 
 
@@ -368,7 +368,7 @@ def recommend(obs: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     presence = obs.filter(c("dimension_id") == PRESENCE).select("project", "company_name", "concept_id", "observed_state", "confidence", "evidence_count")
 
     def rows(df: DataFrame, kind: str, tag: str, dimension: str, confidence: Column) -> DataFrame:
-        rid = F.substring(F.sha2(F.concat_ws("|", "project", "concept_id", F.lit(tag)), 256), 1, 14)
+        rid = F.substring(F.sha2(F.concat_ws("|", "project", "concept_id", F.lit(tag)), 256), 1, 32)
         return df.select(
             F.concat(F.lit("brec_"), rid).alias("id"), "project", "concept_id", F.lit(dimension).alias("dimension_id"),
             F.lit(kind).alias("kind"), confidence.alias("confidence"), "evidence_count",
@@ -508,7 +508,7 @@ def evidence_gaps(obs: DataFrame) -> DataFrame:
     )
     return per_concept.groupBy("project").agg(
         F.sum("u").alias("unknown"), F.sum("a").alias("ambiguous"), F.count_if(F.col("u") > 0).alias("unknown_concepts"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("u") > 0, F.col("concept_id")))), 1, 30), ",").alias("concepts"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("u") > 0, F.col("concept_id")))), ",").alias("concepts"),
     )
 
 

@@ -18,7 +18,7 @@ SPLIT = "TIMESTAMP '1999-01-01 00:00:00'"
 
 def _steps(d: Duck) -> dict[str, tuple[list[str], str]]:
     """name -> (names it needs, SELECT)."""
-    t, sha, key = d.t, d.sha16, d.key
+    t, sha, key = d.t, d.sha128, d.key
     out: dict[str, tuple[list[str], str]] = {}
     out["d_projects"] = ([], f"""
         SELECT 's-' || CAST(s_suppkey AS STRING) AS slug, s_suppkey, s_name AS name, n_name AS industry,

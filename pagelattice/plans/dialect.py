@@ -11,8 +11,8 @@ class Duck:
     def t(self, table: str) -> str:
         return table
 
-    def sha16(self, expr: str) -> str:
-        return f"substr(sha256({expr}), 1, 16)"
+    def sha128(self, expr: str) -> str:
+        return f"substr(sha256({expr}), 1, 32)"
 
     def sub(self, expr: str, pattern: str, to: str) -> str:
         return f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
@@ -30,8 +30,8 @@ class Spark(Duck):
     def t(self, table: str) -> str:
         return f"parquet.`{self.folder}/{table}.parquet`"
 
-    def sha16(self, expr: str) -> str:
-        return f"substr(sha2({expr}, 256), 1, 16)"
+    def sha128(self, expr: str) -> str:
+        return f"substr(sha2({expr}, 256), 1, 32)"
 
     def sub(self, expr: str, pattern: str, to: str) -> str:
         return f"regexp_replace({expr}, '{pattern}', '{to}')"

@@ -14,7 +14,7 @@ from pagelattice.session import written
 from pagelattice.sources import store as io
 
 D = Duck()
-sha, key = D.sha16, D.key
+sha, key = D.sha128, D.key
 
 
 def _sql(names: list[str], body: str) -> str:
@@ -38,7 +38,7 @@ def entity_ids(spark, folder):
     )
 
 
-@query("document_keys", f"SELECT doc_id, substr({key('strip_accents(lower(text))')}, 1, 160) AS doc_key, {key('text')} AS slug FROM documents")
+@query("document_keys", f"SELECT doc_id, {key('strip_accents(lower(text))')} AS doc_key, {key('text')} AS slug FROM documents")
 def document_keys(spark, folder):
     return table(spark, folder, "documents").select("doc_id", K.normalize_key("text").alias("doc_key"), K.slugify("text").alias("slug"))
 
@@ -381,7 +381,7 @@ def _decisions(spark, folder, items, key_name, kinds, id_col="id"):
 # --- Queries ------------------------------------------------------------------------
 @query("knowledge_company", _sql(["store_entities_all", "store_entity_links_all"], """
     + c AS (SELECT id, 0 AS step, seq FROM store_entities_all WHERE type = 'Company' AND normalized_key = 'supplier-000000001' UNION SELECT e.id, 1, e.seq FROM store_entities_all e JOIN store_entity_links_all ON e.id = entity_id WHERE kind = 'project' AND value = 'Supplier#000000001')
-    SELECT e.id, e.type, e.name FROM store_entities_all e JOIN c USING (id) ORDER BY step, c.seq, id LIMIT 50"""))
+    SELECT e.id, e.type, e.name FROM store_entities_all e JOIN c USING (id)"""))
 def knowledge_company(spark, folder):
     return knowledge.query(store(spark, folder), company="Supplier#000000001")["entities"].select("id", "type", "name")
 
@@ -389,30 +389,30 @@ def knowledge_company(spark, folder):
 @query("knowledge_industry", _sql(["store_entities_all", "store_entity_props_all", "store_relationships_all"], """
     + i AS (SELECT id FROM store_entities_all WHERE type = 'Industry' AND contains(normalized_key, 'natio') UNION SELECT entity_id FROM store_entity_props_all WHERE prop = 'industry' AND contains(lower(value), 'natio')),
     a AS (SELECT id, min(step) AS step FROM (SELECT id, 2 AS step FROM i UNION ALL SELECT from_id, 3 FROM store_relationships_all WHERE type = 'COMPANY_OPERATES_IN_INDUSTRY' AND to_id IN (SELECT id FROM i)) GROUP BY 1)
-    SELECT e.id, e.type, e.name FROM store_entities_all e JOIN a USING (id) ORDER BY step, seq, id LIMIT 50"""))
+    SELECT e.id, e.type, e.name FROM store_entities_all e JOIN a USING (id)"""))
 def knowledge_industry(spark, folder):
     return knowledge.query(store(spark, folder), industry="natio")["entities"].select("id", "type", "name")
 
 
 @query("knowledge_type_project", _sql(["store_entities_all", "store_entity_links_all"], """
-    SELECT e.id, e.type, e.name FROM store_entities_all e JOIN store_entity_links_all ON e.id = entity_id WHERE kind = 'project' AND value = 's-3' AND type = 'Product' ORDER BY e.seq, e.id LIMIT 50"""))
+    SELECT e.id, e.type, e.name FROM store_entities_all e JOIN store_entity_links_all ON e.id = entity_id WHERE kind = 'project' AND value = 's-3' AND type = 'Product'"""))
 def knowledge_type_project(spark, folder):
     return knowledge.query(store(spark, folder), entity_type="Product", project="s-3")["entities"].select("id", "type", "name")
 
 
-@query("knowledge_relationship", _sql(["store_relationships_all"], "SELECT id, from_id, to_id FROM store_relationships_all WHERE type = 'COMPANY_HAS_PROCESS_ISSUE' ORDER BY seq, id LIMIT 50"))
+@query("knowledge_relationship", _sql(["store_relationships_all"], "SELECT id, from_id, to_id FROM store_relationships_all WHERE type = 'COMPANY_HAS_PROCESS_ISSUE'"))
 def knowledge_relationship(spark, folder):
     return knowledge.query(store(spark, folder), relationship_type="COMPANY_HAS_PROCESS_ISSUE")["relationships"].select("id", "from_id", "to_id")
 
 
 @query("knowledge_evidence", _sql(["store_evidence_all", "store_evidence_links_all", "store_entities_all"], """
-    + top AS (SELECT id FROM store_entities_all WHERE type = 'Product' ORDER BY seq, id LIMIT 50)
-    SELECT id, source_url FROM store_evidence_all WHERE id IN (SELECT evidence_id FROM store_evidence_links_all WHERE value IN (SELECT id FROM top)) ORDER BY seq, id LIMIT 50"""))
+    + top AS (SELECT id FROM store_entities_all WHERE type = 'Product')
+    SELECT id, source_url FROM store_evidence_all WHERE id IN (SELECT evidence_id FROM store_evidence_links_all WHERE value IN (SELECT id FROM top))"""))
 def knowledge_evidence(spark, folder):
     return knowledge.query(store(spark, folder), entity_type="Product")["evidence"].select("id", "source_url")
 
 
-@query("knowledge_evidence_status", _sql(["store_evidence_all"], "SELECT id, confidence FROM store_evidence_all WHERE review_status = 'unreviewed' ORDER BY seq, id LIMIT 50"))
+@query("knowledge_evidence_status", _sql(["store_evidence_all"], "SELECT id, confidence FROM store_evidence_all WHERE review_status = 'unreviewed'"))
 def knowledge_evidence_status(spark, folder):
     return knowledge.query(store(spark, folder), evidence_status="unreviewed")["evidence"].select("id", "confidence")
 
@@ -446,7 +446,7 @@ def entity_hits(spark, folder):
     a AS (SELECT question, l.value AS project, entity_id AS subject_id, name, type, classification, confidence, CASE WHEN type = 'UxIssue' THEN 1 ELSE 0 END * (question <> 'entities_without_source')::INT AS g, hit.seq FROM q JOIN hit USING (entity_id) JOIN store_entity_links_all l USING (entity_id) WHERE l.kind = 'project'
       UNION ALL SELECT 'low_confidence_evidence', source_project, id, excerpt, 'Evidence', epistemic_class, confidence, 0, seq FROM store_evidence_all WHERE confidence = 'low'),
     r AS (SELECT *, row_number() OVER (PARTITION BY question, project ORDER BY g, seq, subject_id) AS rn FROM a)
-    SELECT question, project, subject_id, name, type, classification, confidence FROM r WHERE rn <= CASE question WHEN 'task_pages' THEN 15 WHEN 'underserved_tasks' THEN 20 WHEN 'low_confidence_evidence' THEN 20 WHEN 'entities_without_source' THEN 25 ELSE 1000000000 END"""))
+    SELECT question, project, subject_id, name, type, classification, confidence FROM r"""))
 def standard_questions(spark, folder):
     return knowledge.standard_questions(store(spark, folder))
 
@@ -461,7 +461,7 @@ _ISSUES = """+ iss AS (
     UNION ALL SELECT 'schema-ent-none', 'critical', 'schema_validation' FROM store_entities_all WHERE false
     UNION ALL SELECT 'fact-no-ev-' || id, 'critical', 'unsupported_facts' FROM store_entities_all WHERE epistemic_class = 'fact' AND type <> 'Industry' AND id NOT IN (SELECT entity_id FROM store_entity_links_all WHERE kind = 'evidence')
     UNION ALL SELECT 'misc-calc-' || id, 'critical', 'misclassification' FROM store_entities_all WHERE epistemic_class = 'fact' AND type = 'Calculator' AND id IN (SELECT entity_id FROM store_entity_props_all WHERE prop = 'classification' AND value = 'conceptual')
-    UNION ALL SELECT 'near-dup-' || substr(""" + key("type || ':' || k") + """, 1, 40), 'medium', 'near_duplicates' FROM (SELECT type, substr(""" + key("name") + """, 1, 80) AS k FROM store_entities_all GROUP BY 1, 2 HAVING count(*) >= 2)
+    UNION ALL SELECT 'near-dup-' || """ + key("type || ':' || k") + """, 'medium', 'near_duplicates' FROM (SELECT type, """ + key("name") + """ AS k FROM store_entities_all GROUP BY 1, 2 HAVING count(*) >= 2)
     UNION ALL SELECT 'low-confidence-summary', 'low', 'low_confidence' FROM store_evidence_all WHERE confidence = 'low' GROUP BY ALL HAVING count(*) > 0)"""
 
 
@@ -524,7 +524,7 @@ def valid_projects(spark, folder):
 
 _HASH = f"""+ h AS (SELECT project_slug, substr(sha256('|' || id || '|' || confidence), 1, 30) AS d, {{part}} AS part FROM evidence_all),
     s AS (SELECT project_slug, CAST(count(*) AS STRING) AS n, CAST(sum(CAST(('0x' || substr(d, 1, 15)) AS BIGINT)) AS STRING) AS a, CAST(sum(CAST(('0x' || substr(d, 16, 15)) AS BIGINT)) AS STRING) AS b FROM h GROUP BY 1)
-    SELECT project_slug, 'evidence' AS artifact, substr(sha256('|' || n || '|' || a || '|' || b), 1, 16) AS hash FROM s"""
+    SELECT project_slug, 'evidence' AS artifact, substr(sha256('|' || n || '|' || a || '|' || b), 1, 32) AS hash FROM s"""
 
 
 @query("artifact_hashes", _sql(["evidence_all"], _HASH.format(part="1")))
@@ -567,12 +567,12 @@ def recommendation_coverage(spark, folder):
 
 
 @query("lowest_confidence", _sql(["store_evidence_all"], """
-    SELECT * FROM (SELECT source_project AS project, CAST(row_number() OVER (PARTITION BY source_project ORDER BY seq, id) AS INTEGER) AS rn, id, reliability_score, excerpt FROM store_evidence_all WHERE confidence = 'low') WHERE rn <= 15"""))
+    SELECT * FROM (SELECT source_project AS project, CAST(row_number() OVER (PARTITION BY source_project ORDER BY seq, id) AS INTEGER) AS rn, id, reliability_score, excerpt FROM store_evidence_all WHERE confidence = 'low')"""))
 def lowest_confidence(spark, folder):
     return metrics.lowest_confidence(store(spark, folder)["evidence"])
 
 
-_METRIC = """+ b AS (SELECT l.value AS project, e.id, e.type, e.epistemic_class = 'fact' AS fact, substr(""" + key("e.name") + """, 1, 80) AS nk, e.id IN (SELECT entity_id FROM store_entity_links_all WHERE kind = 'evidence') AS backed
+_METRIC = """+ b AS (SELECT l.value AS project, e.id, e.type, e.epistemic_class = 'fact' AS fact, """ + key("e.name") + """ AS nk, e.id IN (SELECT entity_id FROM store_entity_links_all WHERE kind = 'evidence') AS backed
       FROM store_entities_all e JOIN store_entity_links_all l ON l.entity_id = e.id AND l.kind = 'project'),
     en AS (SELECT project, count(DISTINCT type) AS types, count(*) AS entities, count_if(fact) AS facts, count_if(fact AND backed) AS bf FROM b GROUP BY 1),
     du AS (SELECT project, count(*) AS d FROM (SELECT project, type, nk FROM b GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1),

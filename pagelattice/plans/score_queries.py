@@ -16,7 +16,7 @@ from pagelattice.plans.registry import query, table
 from pagelattice.session import written
 
 D = Duck()
-sha, key = D.sha16, D.key
+sha, key = D.sha128, D.key
 # Concepts beside the seeds: two a person reviewed, one of them withdrawn.
 EXTRA = [("canon_ring", 100, "Ring", "product_structure", ["small ring"], {"s-1": ["bolt"]}, "accepted", "ann"),
          ("canon_gear", 101, "Gear", "product_structure", ["hot gear"], {}, "deprecated", "ann"),
@@ -390,7 +390,7 @@ def publish_gate(spark, folder):
 
 
 @query("input_digests", _sql(_REV + """, h AS (SELECT project, sha256(id) AS d FROM mp), s AS (SELECT project, CAST(count(*) AS STRING) AS n, CAST(sum(CAST(('0x' || substr(d, 1, 15)) AS BIGINT)) AS STRING) AS a, CAST(sum(CAST(('0x' || substr(d, 16, 15)) AS BIGINT)) AS STRING) AS b FROM h GROUP BY 1)
-    SELECT project, substr(sha256('|' || project || '|cfs-digital-capability|1.0.0|' || n || '|' || a || '|' || b), 1, 24) AS input_digest FROM s"""))
+    SELECT project, substr(sha256('|' || project || '|cfs-digital-capability|1.0.0|' || n || '|' || a || '|' || b), 1, 32) AS input_digest FROM s"""))
 def input_digests(spark, folder):
     return scoring.input_digests(_mappings(spark, folder))
 

@@ -166,7 +166,7 @@ def fetch_outcomes(spark, folder):
 
 
 @query("failure_samples", _sql(["w_fetch"], f"""
-    SELECT * FROM (SELECT project_slug, CAST(row_number() OVER (PARTITION BY project_slug ORDER BY seq, url) AS INTEGER) AS rn, url, error, {FETCH_KIND} AS kind FROM w_fetch WHERE NOT ok) WHERE rn <= 40"""))
+    SELECT * FROM (SELECT project_slug, CAST(row_number() OVER (PARTITION BY project_slug ORDER BY seq, url) AS INTEGER) AS rn, url, error, {FETCH_KIND} AS kind FROM w_fetch WHERE NOT ok)"""))
 def failure_samples(spark, folder):
     return frontier.failure_samples(_df(spark, folder, "w_fetch"))
 
@@ -402,7 +402,7 @@ def project_contacts(spark, folder):
     + home AS (SELECT arg_min({_RICH_URL}, page_id) AS url FROM w_rich), v AS (SELECT 'Phone number observed on public pages: 555-123-' || lpad(CAST(p_size AS STRING), 4, '0') AS claim, min(page_id) AS p, 'phone' AS k FROM w_rich GROUP BY 1
       UNION ALL SELECT 'Email address observed on public pages: sales' || CAST(p_size AS STRING) || '@parts.net', min(page_id), 'email' FROM w_rich GROUP BY 1),
     r AS (SELECT claim, row_number() OVER (PARTITION BY k ORDER BY p) AS rn FROM v)
-    SELECT 'contacts' AS section, claim, url AS source_url, 'medium' AS confidence, 'fact' AS kind FROM r, home WHERE rn <= 10
+    SELECT 'contacts' AS section, claim, url AS source_url, 'medium' AS confidence, 'fact' AS kind FROM r, home
     UNION ALL SELECT 'offerings', 'Public positioning describes a lightweight / cold-formed steel framing manufacturer and fabricator.', url, 'high', 'fact' FROM home
     UNION ALL SELECT 'audiences', 'Site language targets construction professionals and distribution partners (distributors listed publicly).', url, 'medium', 'inference' FROM home"""))
 def profile_facts(spark, folder):
@@ -534,7 +534,7 @@ _QUALITY = rf"""WITH d AS ({_DAMAGE.format(documents='documents')}),
 
 @query("text_normalize", _QUALITY + """
     SELECT doc_id, ok, array_to_string(issues, ',') AS issues, CASE WHEN NOT ok THEN 0.35 WHEN sal THEN 0.12 WHEN len(issues) > 0 THEN 0.1 ELSE 0.0 END AS penalty, round(cr, 6) AS common,
-      md5(CASE WHEN NOT ok THEN '' WHEN length(txt) > 10000 THEN substr(txt, 1, 10000) || chr(8230) ELSE txt END) AS text_md5 FROM w""")
+      md5(CASE WHEN NOT ok THEN '' ELSE txt END) AS text_md5 FROM w""")
 def text_normalize(spark, folder):
     df = T.normalize_text(_damaged(spark, folder), "t", "tq")
     return df.select("doc_id", "tq.ok", F.array_join("tq.issues", ",").alias("issues"), F.col("tq.confidence_penalty").alias("penalty"), F.round("tq.common_text_ratio", 6).alias("common"), F.md5("tq.text").alias("text_md5"))
