@@ -99,29 +99,41 @@ def refresh_registry(seeds: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def alias_index(concepts: DataFrame) -> DataFrame:
-    """concept_id, alias, lexical_key, source, company_slug, seq of live concepts."""
+    """concept_id, alias, lexical_key, source, company_slug, seq of live concepts.
+
+    ``seq`` orders the aliases: by concept, its general ones first, then by place.
+    """
     none = F.lit(None).cast("string")
-    item = lambda alias, source, slug, n: F.struct(
-        alias.alias("alias"), F.lit(source).alias("source"), slug.alias("company_slug"), n.alias("n")
+    item = lambda alias, source, slug, own, n: F.struct(
+        alias.alias("alias"), F.lit(source).alias("source"), slug.alias("company_slug"), F.lit(own).alias("own"), n.alias("n")
     )
     own = F.flatten(
         F.transform(
             F.map_entries(F.coalesce("company_specific_aliases", F.create_map().cast("map<string,array<string>>"))),
-            lambda e: F.transform(e["value"], lambda a, i: item(a, "company_specific", e["key"], F.lit(500) + i)),
+            lambda e: F.transform(e["value"], lambda a, i: item(a, "company_specific", e["key"], 1, i)),
         )
     )
     entries = F.concat(
-        F.array(item(F.col("canonical_name"), "canonical_name", none, F.lit(0))),
-        F.transform("aliases", lambda a, i: item(a, "alias", none, i + 1)),
+        F.array(item(F.col("canonical_name"), "canonical_name", none, 0, F.lit(0))),
+        F.transform("aliases", lambda a, i: item(a, "alias", none, 0, i + 1)),
         own,
     )
     df = concepts.filter("status <> 'deprecated'").select("id", "seq", F.explode(entries).alias("e"))
     return df.select(
         F.col("id").alias("concept_id"), "e.alias", normalize_key("e.alias").alias("lexical_key"), "e.source", "e.company_slug",
-        (F.col("seq") * 1000 + F.col("e.n")).alias("seq"),
+        F.struct(F.col("seq").cast("bigint").alias("concept"), F.col("e.own").alias("own"), F.col("e.n").alias("n")).alias("seq"),
     )
 
 
+def _place(concept: Column) -> Column:
+    return F.struct(concept.cast("bigint").alias("concept"), F.lit(0).alias("own"), F.lit(0).alias("n"))
+
+
+def _order(rule: int, place: Column, step: int = 0) -> Column:
+    """Which of two hits came first: by the rule's band, the alias's place, the step."""
+    return F.struct(F.lit(rule).alias("rule"), place.alias("place"), F.lit(step).alias("step"))
+
+
 def _tokens(key: Column) -> Column:
     return F.array_distinct(F.filter(F.split(key, "-"), lambda t: F.length(t) > 2))
 
@@ -169,7 +181,7 @@ def _contained(shapes: DataFrame, text: str, index: DataFrame, confidence: float
     )
     return shapes.select("shape", key.alias("k")).join(hit, "k").select(
         "shape", "company_slug", "concept_id", F.lit(confidence).alias("confidence"), F.lit("semantic").alias("method"),
-        (F.col("seq") * 10 + order).cast("bigint").alias("ord"),
+        _order(0, F.col("seq"), order).alias("ord"),
         F.concat(F.lit(note + ' registered alias "'), F.col("alias"), F.lit('"')).alias("notes"),
     )
 
@@ -199,7 +211,7 @@ def score_mappings(entities: DataFrame, concepts: DataFrame, ascii_only: bool =
             "shape", "company_slug", "concept_id",
             F.when(F.col("source") == "canonical_name", 0.96).otherwise(0.9).alias("confidence"),
             F.when(F.col("source") == "canonical_name", "exact").otherwise("alias").alias("method"),
-            (F.col("seq") * 10).cast("bigint").alias("ord"),
+            _order(0, F.col("seq")).alias("ord"),
             F.concat(F.lit("Exact lexical match on "), F.col("source")).alias("notes"),
         )
     )
@@ -211,7 +223,7 @@ def score_mappings(entities: DataFrame, concepts: DataFrame, ascii_only: bool =
         F.col("company_slug").isNull() | (F.col("company_slug") == F.col("project"))
     )
     best = rows.groupBy("entity_id", "project", "type", "concept_id").agg(
-        F.max_by(F.struct("confidence", "method", "notes"), F.struct("confidence", -F.col("ord"))).alias("b"),
+        F.min_by(F.struct("confidence", "method", "notes"), F.struct(-F.col("confidence"), F.col("ord"))).alias("b"),
         F.min("ord").alias("first_order"),
     )
     delta = _pair_case(TYPE_BONUS, 0.0)
@@ -243,7 +255,7 @@ def _hinted(shapes: DataFrame, overlap: DataFrame, concepts: DataFrame) -> DataF
     by_overlap = overlap.withColumn("h", order).filter("h >= 0 and j >= 0.25").select(
         "shape", F.lit(None).cast("string").alias("company_slug"), "concept_id",
         F.least(F.lit(0.88), F.lit(0.7) + F.col("j") * 0.25).alias("confidence"), F.lit("structural").alias("method"),
-        (F.lit(10**9) + F.col("h").cast("bigint")).alias("ord"),
+        _order(1, _place(F.col("h"))).alias("ord"),
         F.concat(F.lit("Entity type "), F.col("type"), F.lit(" + alias token overlap "), F.format_string("%.2f", "j")).alias("notes"),
     )
     lone = TYPE_HINTS["ProductSelector"][0]
@@ -252,7 +264,7 @@ def _hinted(shapes: DataFrame, overlap: DataFrame, concepts: DataFrame) -> DataF
     strong = overlap.filter("j >= 0.25").select("shape", "concept_id")
     default = selector.join(strong, ["shape", "concept_id"], "left_anti").select(
         "shape", F.lit(None).cast("string").alias("company_slug"), "concept_id", F.lit(0.78).alias("confidence"),
-        F.lit("structural").alias("method"), F.lit(10**9).cast("bigint").alias("ord"),
+        F.lit("structural").alias("method"), _order(1, _place(F.lit(0))).alias("ord"),
         F.lit("Unambiguous structural type ProductSelector").alias("notes"),
     )
     return by_overlap.unionByName(default)
@@ -262,7 +274,7 @@ def _semantic(overlap: DataFrame) -> DataFrame:
     return overlap.filter("status <> 'deprecated' and j >= 0.45").select(
         "shape", F.lit(None).cast("string").alias("company_slug"), "concept_id",
         F.least(F.lit(0.86), F.lit(0.65) + F.col("j") * 0.3).alias("confidence"), F.lit("semantic").alias("method"),
-        (F.lit(2 * 10**9) + F.col("concept_seq")).cast("bigint").alias("ord"),
+        _order(2, _place(F.col("concept_seq"))).alias("ord"),
         F.concat(F.lit("Semantic token overlap "), F.format_string("%.2f", "j"), F.lit(" with registered aliases")).alias("notes"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +99,22 @@ def link_reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Fewest hops to every URL within ``hops`` of a seed.
 
     ``edges``: project_slug, from_url, to_url; ``seeds``: project_slug, url. Every
-    round is written to the checkpoint folder, so a lost executor costs one round.
+    round writes only the URLs it found to the checkpoint folder, so a lost executor costs one round.
     """
-    edges = edges.select("project_slug", "from_url", "to_url").distinct()
-    reached = seeds.select("project_slug", "url").distinct().withColumn("hops", F.lit(0))
+    edges = reliable_checkpoint(edges.select("project_slug", "from_url", "to_url").distinct())
+    front = seeds.select("project_slug", "url").distinct().withColumn("hops", F.lit(0))
+    rounds = [front]
     for hop in range(1, hops + 1):
-        front = reached.filter(F.col("hops") == hop - 1)
+        reached = reduce(DataFrame.unionByName, rounds).select("project_slug", "url")
         found = (
-            edges.join(front.withColumnRenamed("url", "from_url"), ["project_slug", "from_url"])
+            edges.join(front.select("project_slug", F.col("url").alias("from_url")), ["project_slug", "from_url"])
             .select("project_slug", F.col("to_url").alias("url"))
             .distinct()
             .join(reached, ["project_slug", "url"], "left_anti")
         )
-        reached = reliable_checkpoint(reached.unionByName(found.withColumn("hops", F.lit(hop))))
-    return reached
+        front = reliable_checkpoint(found.withColumn("hops", F.lit(hop)))
+        rounds.append(front)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def sitemap_urls(sitemaps: DataFrame, seeds: DataFrame) -> DataFrame:

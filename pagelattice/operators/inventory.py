@@ -27,7 +27,7 @@ FACT_RULES = [
 # Pages that describe products; products added when named anywhere.
 PRODUCT_PAGE = "(?i)product|stud|track|joist|nitro|framing|catalog"
 NAMED_PRODUCTS = [("NITROSTUD", "nitrostud", "(?i)nitrostud")]
-NO_SUMMARY = "Summary unavailable " + chr(0x2014) + " text normalization failed on crawled homepage content."
+NO_SUMMARY = "Summary unavailable — text normalization failed on crawled homepage content."
 PRODUCT_NOTE = "Extracted from public page inventory; attributes require structured table parsing."
 NAMED_NOTE = "Name observed in crawl corpus; verify product-detail completeness."
 # Labels of representative pages as (label, pattern, also search headings).
@@ -237,5 +237,25 @@ def passing_members(members: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def member_demand(members: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per member how many requests it carries and the height it has to spare over them.
+
+    The counts of `passing_members` without its pairs: running sums over the heights of a key in two levels,
+    totals of one-foot bins and the rows of a bin, so a key that all rows share is spread over its bins.
+    """
+    keys = ["spacing_in", "lateral_load_psf", "deflection_limit"]
+    ask = requests.select(*keys, F.col("required_height_ft").alias("h"), F.lit(0).alias("member"), F.lit(None).cast("string").alias("designation"))
+    have = members.select(*keys, F.col("max_height_ft").alias("h"), F.lit(1).alias("member"), "designation")
+    rows = ask.unionByName(have).withColumn("bin", F.floor("h"))
+    asked = F.col("member") == 0
+    inside = Window.partitionBy(*keys, "bin").orderBy("h", "member").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("n", F.count_if(asked).over(inside)).withColumn("s", F.sum(F.when(asked, F.col("h")).otherwise(0.0)).over(inside)).filter("member = 1")
+    bins = rows.groupBy(*keys, "bin").agg(F.count_if(asked).alias("bn"), F.sum(F.when(asked, F.col("h")).otherwise(0.0)).alias("bs"))
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "bin", F.coalesce(F.sum("bn").over(below), F.lit(0)).alias("bn"), F.coalesce(F.sum("bs").over(below), F.lit(0.0)).alias("bs"))
+    out = running.join(bins, [*keys, "bin"]).withColumn("requests", F.col("n") + F.col("bn")).filter("requests > 0")
+    return out.select(*keys, "designation", F.col("h").alias("max_height_ft"), "requests", (F.col("requests") * F.col("h") - F.col("s") - F.col("bs")).alias("slack"))
+
+
 def invalid_requests(requests: DataFrame) -> DataFrame:
     return requests.filter(~F.coalesce(F.col("required_height_ft") > 0, F.lit(False)))

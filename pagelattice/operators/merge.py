@@ -299,7 +299,9 @@ def ingest(
     merged["evidence"] = mark_stale(
         merged["evidence"], new["evidence"].select("id"), active.select("project_slug")
     )
-    return merged, result
+    # What the merges note about a row (inserted, updated, newly stale) is no part of the store.
+    stored = Tables({n: (lambda n=n: merged[n].select(*STORE_TABLES[n]) if n in STORE_TABLES else merged[n]) for n in merged})
+    return stored, result
 
 
 def upsert_by_key(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:

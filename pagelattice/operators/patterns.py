@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pagelattice.functions.keys import candidate_pattern_id, entity_id, normalize_key
 
 # Labels a pattern carries.
-LABEL = "Candidate pattern " + chr(0x2014) + " unapproved. Not an industry standard, best practice, or verified conclusion."
-BLOCKED_LABEL = LABEL + " BLOCKED by conflicts " + chr(0x2014) + " needs human review."
+LABEL = "Candidate pattern — unapproved. Not an industry standard, best practice, or verified conclusion."
+BLOCKED_LABEL = LABEL + " BLOCKED by conflicts — needs human review."
 _RANK = {"high": 0, "medium": 1, "low": 2}
 
 

@@ -23,7 +23,7 @@ TOOL_CONCEPTS = ["canon_engineering-calculator", "canon_limiting-height-tool", "
 CORE_CONCEPTS = ["canon_engineering-calculator", "canon_submittal-workflow", "canon_document-center"]
 PRESENCE = "capability_presence"
 APPROVAL_KEYS = ["benchmark.definition.review", "benchmark.observation.review", "benchmark.publish"]
-SYNTHETIC_NOTE = "SYNTHETIC FIXTURE " + chr(0x2014) + " not live market evidence"
+SYNTHETIC_NOTE = "SYNTHETIC FIXTURE — not live market evidence"
 
 
 @dataclass(frozen=True)
@@ -207,10 +207,10 @@ def observe(mappings: DataFrame, store: dict, projects: DataFrame, definition: D
     )
     note = F.array_join(
         compact(
-            F.when(c("case") == "none", "No successful normalization mapping for this concept " + chr(0x2014) + " unknown, not absent")
+            F.when(c("case") == "none", "No successful normalization mapping for this concept — unknown, not absent")
             .when(c("case") == "unsure", "Mapping not accepted for scoring performance")
-            .when(c("case") == "lacking", "Mapping exists but required evidence missing " + chr(0x2014) + " unknown")
-            .when(c("case") == "gap", "Opportunity/gap signal " + chr(0x2014) + " not a confirmed capability"),
+            .when(c("case") == "lacking", "Mapping exists but required evidence missing — unknown")
+            .when(c("case") == "gap", "Opportunity/gap signal — not a confirmed capability"),
             F.when(c("is_stale"), "stale evidence penalty applied"),
             F.when(c("synthetic"), SYNTHETIC_NOTE),
         ),
@@ -490,7 +490,7 @@ def cohort_labels(cohorts: DataFrame, projects: DataFrame) -> DataFrame:
     df = cohorts.join(p, "project").groupBy("cohort_id").agg(
         F.count_if(~F.col("synthetic")).alias("live"), F.count_if("synthetic").alias("synthetic")
     )
-    live, syn, dash = F.col("live"), F.col("synthetic"), " " + chr(0x2014) + " "
+    live, syn, dash = F.col("live"), F.col("synthetic"), " — "
     label = (
         F.when((live > 0) & (syn > 0), f"Mixed live+synthetic cohort{dash}synthetic evidence must not be treated as market proof")
         .when(syn > 0, f"Synthetic validation cohort{dash}not live market evidence")

@@ -247,9 +247,10 @@ def link_reach(spark, folder):
 @query("sitemap_seeds", _sql(["w_pages"], f"SELECT DISTINCT project_slug, {_canon('url')} AS url FROM w_pages"))
 def sitemap_seeds(spark, folder):
     maps = _df(spark, folder, "w_sitemaps")
-    index = maps.groupBy("project_slug").agg(F.collect_list(F.concat(F.lit("<loc>"), "url", F.lit("</loc>"))).alias("l")).select(
-        F.concat(F.lit("https://"), "project_slug", F.lit("/sitemap.xml")).alias("url"), F.array_join("l", "").alias("xml"))
-    seeds = _df(spark, folder, "w_projects").select(F.col("slug").alias("project_slug"), F.concat(F.lit("https://"), "slug", F.lit("/sitemap.xml")).alias("sitemap_url"))
+    # An index file for each sitemap of a host; nothing gathers a host.
+    at = F.concat(F.lit("https://"), "project_slug", F.lit("/sitemap-index-"), F.md5("url"), F.lit(".xml"))
+    index = maps.select(at.alias("url"), F.concat(F.lit("<loc>"), "url", F.lit("</loc>")).alias("xml"))
+    seeds = maps.select("project_slug", at.alias("sitemap_url"))
     return frontier.sitemap_seeds(maps.select("url", "xml").unionByName(index), seeds, _projects(spark, folder))
 
 
@@ -457,8 +458,8 @@ def member_lookup(spark, folder):
     limit = F.when(F.col("o_orderpriority") == "1-URGENT", "PROMO").when(F.col("o_orderpriority") == "2-HIGH", "LARGE").otherwise("SMALL")
     requests = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("request_id"), limit.alias("deflection_limit"), (1 + F.col("o_totalprice") / 10000).alias("required_height_ft"), *fixed)
-    hits = inventory.passing_members(members, requests)
-    return hits.groupBy("deflection_limit", "designation").agg(F.count("*").alias("requests"), F.round(F.sum(F.col("max_height_ft") - F.col("required_height_ft")), 2).alias("slack"))
+    demand = inventory.member_demand(members, requests)
+    return demand.groupBy("deflection_limit", "designation").agg(F.sum("requests").alias("requests"), F.round(F.sum("slack"), 2).alias("slack"))
 
 
 # --- Text -------------------------------------------------------------------------------
@@ -569,11 +570,14 @@ def extraction_health(spark, folder):
     return metrics.extraction_health(df).select("project_slug", "total", "good", "bad", "passed")
 
 
-@query("repair_records", _sql(["w_pages"], "SELECT page_id, false AS repaired FROM w_pages"))
+@query("repair_records", _sql(["w_pages"], "SELECT page_id, page_id % 3 = 0 AS repaired, true AS has_text FROM w_pages"))
 def repair_records(spark, folder):
     rec = _records(spark, folder)
-    out = metrics.repair_records(rec.select("project_slug", "url", "seq", "page_id", "title", "main_text_summary"), rec.select("project_slug", "url", "seq", "page_id", "title", "main_text_summary"))
-    return out.select("page_id", "repaired")
+    new = rec.select("project_slug", "url", "seq", "page_id", "title", "main_text_summary")
+    # A third of the pages had failed before.
+    old = new.withColumn("main_text_summary", F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.col("main_text_summary")))
+    out = metrics.repair_records(old, new)
+    return out.select(F.col("seq").alias("page_id"), "repaired", (F.col("main_text_summary") != "").alias("has_text"))
 
 
 # --- Reliability ------------------------------------------------------------------------
