@@ -44,36 +44,36 @@ def observation_members(store: dict[str, DataFrame]) -> DataFrame:
 def candidate_patterns(store: dict[str, DataFrame], previous: DataFrame | None = None) -> DataFrame:
     """One row per observation key seen in at least two projects and two companies.
 
-    Every count first reduces to distinct (key, member) pairs, which spreads a key
-    that holds a large share of all observations over the cluster.
+    Members are joined to their observations once and reduced to distinct (key, kind, value) rows, which spreads a key that holds a
+    large share of all observations over the cluster; one aggregate by key then counts every kind.
     """
     obs = observation_members(store)
-    links = store["entity_links"]
+    links = store["entity_links"].select("entity_id", "kind", "value", F.col("seq").alias("link_seq"))
     member = obs.select("entity_id", "key").join(links, "entity_id")
-    projects = member.filter("kind = 'project'").select("key", F.col("value").alias("project")).distinct()
-    companies = (
-        projects.join(companies_by_project(store["entities"], links), "project").select("key", "company_id").distinct()
-    )
-    blocking = store["conflicts"].filter("blocks").select(F.col("id").alias("value"))
-    conflicts = member.filter("kind = 'conflict'").join(blocking, "value", "left_semi").select("key", "value").distinct()
-    evidence = member.filter("kind = 'evidence'").select("key", "value").distinct()
-    count = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
-    first_ev = (
-        member.filter("kind = 'evidence'").groupBy("entity_id", "key")
-        .agg(F.min_by("value", F.struct("seq", "value")).alias("id"))
-    )
-    worst = (
-        first_ev.join(store["evidence"].select("id", "confidence"), "id")
-        .groupBy("key").agg(F.max(severity(F.col("confidence"))).alias("worst"))
-    )
-    names = obs.groupBy("key").agg(F.min_by("name", F.struct("seq", "entity_id")).alias("first_name"))
-    df = (
-        count(projects, "projects").filter("projects >= 2")
-        .join(count(companies, "companies").filter("companies >= 2"), "key")
-        .join(count(evidence, "evidence_count"), "key", "left")
-        .join(count(conflicts, "blocking_conflicts"), "key", "left")
-        .join(worst, "key", "left").join(names, "key")
-    )
+    blank = {"blocks": F.lit(None).cast("boolean"), "severity": F.lit(None).cast("int"), "name": F.lit(None).cast("string"), "at": F.lit(None).cast("struct<seq:bigint,entity_id:string>")}
+
+    def of_kind(df: DataFrame, kind: Column, **given: Column) -> DataFrame:
+        return df.select("key", kind.alias("kind"), *[given.get(n, c).alias(n) for n, c in blank.items()])
+
+    distinct = member.groupBy("key", "kind", "value").agg(F.count("*").alias("times"))
+    conflicts = store["conflicts"].filter("blocks").select(F.col("id").alias("value"), F.lit("conflict").alias("kind"), F.lit(True).alias("blocks")).distinct()
+    plain = distinct.join(conflicts, ["value", "kind"], "left")
+    companies = companies_by_project(store["entities"], store["entity_links"])
+    company = distinct.filter("kind = 'project'").join(companies, F.col("value") == F.col("project")).select("key", "company_id").distinct()
+    first = member.filter("kind = 'evidence'").groupBy("entity_id", "key").agg(F.min_by("value", F.struct("link_seq", "value")).alias("id"))
+    first = first.join(store["evidence"].select("id", "confidence"), "id")
+    at = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("entity_id").alias("entity_id"))
+    rows = (
+        of_kind(plain, F.col("kind"), blocks=F.col("blocks"))
+        .unionByName(of_kind(company, F.lit("company")))
+        .unionByName(of_kind(first, F.lit("first"), severity=severity(F.col("confidence"))))
+        .unionByName(of_kind(obs, F.lit("name"), name=F.col("name"), at=at))
+    )
+    counted = lambda kind: F.count_if(F.col("kind") == kind)
+    df = rows.groupBy("key").agg(
+        counted("project").alias("projects"), counted("company").alias("companies"), counted("evidence").alias("evidence_count"),
+        F.count_if("blocks").alias("blocking_conflicts"), F.max("severity").alias("worst"), F.min_by("name", "at").alias("first_name"),
+    ).filter("projects >= 2 AND companies >= 2")
     blocked = F.coalesce(F.col("blocking_conflicts"), F.lit(0)) > 0
     df = df.select(
         candidate_pattern_id("key").alias("id"), F.col("key").alias("observation_key"),
