@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,13 +38,14 @@ def build_session(master: str | None = None, app: str = "pagelattice", **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in for it only in local mode.
+    Where it is unset, a local session gets a folder of its own that goes when the program ends; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="pagelattice-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
@@ -54,9 +57,16 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the tables in a folder, so that changed inputs are noticed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path))
+
+
 def written_path(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> str:
-    """Where the table ``make`` plans is written, once per application."""
-    full = (spark.sparkContext.applicationId, *key)
+    """Where the table ``make`` plans is written, once per application and state of the input folder ``key[0]``."""
+    full = (spark.sparkContext.applicationId, *key, _state(spark, str(key[0])))
     if full not in _WRITTEN:
         path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         make().write.parquet(path)
