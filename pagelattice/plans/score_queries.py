@@ -86,9 +86,23 @@ def _sql(body: str, more: list[str] = []) -> str:  # noqa: B006
 
 
 # --- Concepts ---------------------------------------------------------------------------
-@query("alias_index", f"WITH {_REG[1:]}, keep AS (SELECT (SELECT count(*) FROM region) > 0 AS k) SELECT concept_id, alias, lk AS lexical_key, source, company_slug FROM al, keep WHERE k")
+@query("alias_index", f"""
+    WITH n AS (SELECT DISTINCT regexp_extract(p_name, '[^ ]+$') AS noun, p_name, p_brand FROM part),
+    live AS (SELECT * FROM n WHERE noun <> 'ring'),
+    a AS (SELECT 'part_' || noun AS concept_id, noun AS alias, 'canonical_name' AS source, NULL AS company_slug FROM live
+      UNION ALL SELECT DISTINCT 'part_' || noun, p_name, 'alias', NULL FROM (SELECT DISTINCT noun, p_name FROM live)
+      UNION ALL SELECT 'part_' || noun, 'our ' || noun, 'company_specific', p_brand FROM (SELECT DISTINCT noun, p_brand FROM live))
+    SELECT DISTINCT concept_id, alias, {key('alias')} AS lexical_key, source, company_slug FROM a""")
 def alias_index(spark, folder):
-    return C.alias_index(_registry(spark)).select("concept_id", "alias", "lexical_key", "source", "company_slug")
+    """A concept for each noun of the part names, withdrawn for one of them; every brand has a name of its own for it."""
+    noun = F.element_at(F.split("p_name", " "), -1)
+    named = table(spark, folder, "part").select(noun.alias("canonical_name"), "p_name", "p_brand")
+    reg = named.groupBy("canonical_name").agg(F.array_sort(F.collect_set("p_name")).alias("aliases"), F.array_sort(F.collect_set("p_brand")).alias("brands"))
+    own = F.map_from_arrays("brands", F.transform("brands", lambda b: F.array(F.concat(F.lit("our "), F.col("canonical_name")))))
+    reg = reg.select(
+        F.concat(F.lit("part_"), "canonical_name").alias("id"), F.lit(0).cast("bigint").alias("seq"), "canonical_name", "aliases", own.alias("company_specific_aliases"),
+        F.when(F.col("canonical_name") == "ring", "deprecated").otherwise("accepted").alias("status"))
+    return C.alias_index(reg).select("concept_id", "alias", "lexical_key", "source", "company_slug")
 
 
 @query("concept_scores_raw", _sql(_SCORE + " SELECT id AS entity_id, project, concept_id, round(cf, 6) AS confidence, method FROM sc"))

@@ -616,7 +616,7 @@ def page_reliability(spark, folder):
     return a.withColumn("average", F.round("average", 6))
 
 
-@query("reliability_overrides", _sql(["w_pages"], _SCORED + ", o AS (SELECT DISTINCT 'unknown' AS source_class, 0.4 AS weight FROM region) SELECT page_id, coalesce(weight, w) AS reliability_score, weight IS NOT NULL AS overridden FROM sc LEFT JOIN o USING (source_class)"))
+@query("reliability_overrides", _sql(["w_pages"], _SCORED + ", o AS (SELECT 'unknown' AS source_class, 0.4 AS weight) SELECT page_id, coalesce(weight, w) AS reliability_score, weight IS NOT NULL AS overridden FROM sc LEFT JOIN o USING (source_class)"))
 def reliability_overrides(spark, folder):
     over = spark.range(1).select(F.lit("unknown").alias("source_class"), F.lit(0.4).alias("weight"))
     return metrics.apply_overrides(metrics.score_sources(_titles(spark, folder)), over).select("page_id", "reliability_score", "overridden")
