@@ -91,8 +91,10 @@ EDGES = "shard long, f1 long, f2 long, at int, w1 long, w2 long"
 
 def _found_rows(shard: pa.Table, repeated: np.ndarray, owner: np.ndarray, begins: np.ndarray, length: int) -> pa.Table:
     out: tuple[list, list, list] = ([], [], [])
-    for u in np.unique(owner[repeated]) if len(repeated) else []:
-        for a, b in _merged(repeated[owner[repeated] == u] - begins[u], length):
+    of = owner[repeated]
+    for own in np.split(repeated, np.flatnonzero(np.diff(of)) + 1) if len(repeated) else []:
+        u = int(owner[own[0]])
+        for a, b in _merged(own - begins[u], length):
             out[0].append(u)
             out[1].append(a)
             out[2].append(b)
