@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.llm import paths
 from pagelattice.llm.components import components
 from pagelattice.llm.shingles import minhashes, multipliers, parts, shingle_sets
-from pagelattice.llm.tables import pick, settled
+from pagelattice.llm.tables import maybe_among, pick, settled
 
 
 @dataclass(frozen=True)
 class Settings:
     """A pair at the threshold survives a tree with probability 0.67 or more, so 16 trees lose about one in 10**8 of them.
 
-    ``minority``: a node is compared exhaustively when all but so many of its documents are in one component already; the work
-    is then linear in the node. ``likely`` is the agreement of the sketches below which a pair is not verified: with 128
+    ``minority``: a node's pairs are listed when all but so many of its documents are in one component already; that is
+    linear in the node. ``node_rows`` and ``node_shingles`` bound a node that is compared exhaustively in one task. ``likely`` is the agreement of the sketches below which a pair is not verified: with 128
     entries a pair at 0.75 is six standard deviations above it.
     """
 
     words: int = 5
     percent: int = 75
     trees: int = 16
-    coordinates: int = 32
+    coordinates: int = 40
     sketch: int = 128
     minority: int = 16
     branches: int = 2
     depth: int = 12
+    node_rows: int = 1024
+    node_shingles: int = 2_000_000
     likely: float = 0.5
 
 
@@ -65,45 +69,13 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 def _alike(s: Settings) -> F.Column:
     """Set sizes that allow the threshold."""
-    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * s.percent)
-
-
-def _pairs(nodes: DataFrame, s: Settings) -> DataFrame:
-    """Candidate pairs (a, b) of a level: every member with the node's first one, and the minority of settled nodes with all members.
-
-    ``nodes`` has (key, id, n, comp, first, first_n, minority, main): a minority row is one outside the node's main component.
-    """
-    stars = nodes.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), "n", F.col("first_n").alias("n2")).where(_alike(s))
-    few = nodes.where(F.col("minority") <= s.minority)
-    odd = few.where("comp != main").select(F.col("key").alias("k2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    near = few.join(odd, F.col("key") == F.col("k2")).where((F.col("comp") != F.col("comp2")) & _alike(s))
-    near = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near)
-
-
-def _nodes(rows: DataFrame) -> DataFrame:
-    """Members of the nodes that still hold two components, with the node's first member, main component and minority size.
-
-    All from partial aggregates and joins on the node key, so one huge node is spread over its rows.
-    """
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("f"))
-    keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"), F.min("f").alias("f")).where("comps > 1")
-    keys = keys.select(F.col("key").alias("k"), F.col("f.id").alias("first"), F.col("f.n").alias("first_n"), (F.col("size") - F.col("most.c")).alias("minority"), F.col("most.comp").alias("main"))
-    return rows.join(keys, F.col("key") == F.col("k")).drop("k")
-
-
-def _children(nodes: DataFrame, s: Settings) -> DataFrame:
-    """The next level of each unsettled node: it picks coordinates by its path, and members branch by their minhash there."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(s.branches - 1))).alias("branch")
-    picked = nodes.where(F.col("minority") > s.minority).select("key", "id", "n", "comp", "path", step)
-    at = F.pmod(F.xxhash64("key", "branch"), F.lit(s.coordinates)).cast("int") + 1
-    return picked.select(F.xxhash64("key", "branch", F.element_at("path", at)).alias("key"), "id", "n", "comp", "path")
+    return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * s.percent
 
 
 def _likely(pairs: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
     """Pairs whose sketches agree often enough to be worth verifying."""
     sk = signed.select(F.col("doc_id").alias("d"), "sketch")
-    both = pairs.distinct().join(sk, F.col("a") == F.col("d")).drop("d").withColumnRenamed("sketch", "s1")
+    both = pairs.join(sk, F.col("a") == F.col("d")).drop("d").withColumnRenamed("sketch", "s1")
     both = both.join(sk, F.col("b") == F.col("d")).select("a", "b", "s1", F.col("sketch").alias("s2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +112,89 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of a few documents."""
+    wanted = settled(ids.select(F.col("id").alias("w")))
+    return settled(maybe_among(docs, F.col("doc_id"), wanted).join(wanted, F.col("doc_id") == F.col("w"), "left_semi"))
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a bounded number of sets: rare shingles by their pairs, frequent ones by matrix products."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, size = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    owner, size_of = owner[order], size[at[order]]
+    out = np.zeros((n, n), np.float32)
+    for c in range(2, 9):
+        rows = owner[size_of == c].reshape(-1, c)
+        for i in range(c):
+            for j in range(i):
+                np.add.at(out, (rows[:, i], rows[:, j]), 1)
+                np.add.at(out, (rows[:, j], rows[:, i]), 1)
+    often = owner[size_of > 8]
+    sizes = size[size > 8]
+    ends = np.cumsum(sizes)
+    for start in range(0, len(sizes), 2048):
+        stop = min(start + 2048, len(sizes))
+        own = often[ends[start] - sizes[start] : ends[stop - 1]]
+        x = np.zeros((n, stop - start), np.float32)
+        x[own, np.repeat(np.arange(stop - start), sizes[start:stop])] = 1
+        out += x @ x.T
+    return out
+
+
+def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a bounded node that connect what its linked documents connect: one fewer than documents at most."""
+    common, n = common_counts(sets), np.array([len(x) for x in sets], np.float32)
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    left, out = np.ones(len(ids), bool), []
+    for root in range(len(ids)):
+        if left[root]:
+            left[root], todo = False, [root]
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(linked[i] & left)
+                left[new] = False
+                todo += new.tolist()
+                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in new]
+    return out
+
+
+def _exhaustive(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) within each node (key), whose members are compared on their full sets in one task."""
+    t = texts.select(F.col("doc_id").alias("d"), "text")
+    rows = members.select("key", "id").distinct().join(t, F.col("id") == F.col("d")).select("key", "id", "text")
+
+    def run(node: pa.Table) -> pa.Table:
+        links = spanning_links(node["id"].to_pylist(), shingle_sets(node["text"].to_pylist(), s.words), s.percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("key").applyInArrow(run, "a long, b long")
+
+
+def _in_block_pairs(members: DataFrame, s: Settings) -> DataFrame:
+    """Nodes of any size as bounded nodes: members are dealt into blocks, and each two blocks of a node make a node."""
+    half = s.node_rows // 2
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / half), F.ceil(2 * F.sum("n") / s.node_shingles)).alias("blocks")).select(F.col("key").alias("k"), "blocks")
+    dealt = members.join(sizes, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    return dealt.select("key", "id", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document.
 
     Documents are linked if the Jaccard similarity of their word-shingle sets is ``percent`` or more; component_id is the smallest
     doc_id reachable and kept marks it. Equal sets are one class from the start and only its smallest id is compared. Each
     tree sends a class to the node of one of its minhashes; a node that holds several components compares its first member with
-    all, the minority with all once it is small, and otherwise branches again by minhashes that its path
-    chooses. Links found at the first level are verified and unified before the deeper ones, which then drop nodes of one component: that
-    loses no connection and keeps a huge group of near copies linear. What is still mixed at the last level is
-    compared in full. Candidates are verified on the full sets of whole texts.
+    all, and its minority with all once that is small. Links found so are verified and unified, which ends most nodes: one with a single
+    component is dropped, without loss, so a huge group of near copies stays linear. Of the others, small nodes are compared exhaustively and large ones branch
+    again by minhashes that their path chooses. What is still large at the last level is compared by pairs of blocks. Candidates are verified on the full sets of whole texts.
 
     A text that is null or has no words has an empty set: n_shingles 0, linked with nothing, kept. Rows without an id are left
     out; of rows that repeat an id, the largest text in order counts; empty tables give no rows.
@@ -164,29 +209,40 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     reps = settled(full.join(copied.select(F.col("doc_id").alias("c")), F.col("doc_id") == F.col("c"), "left_anti").select("doc_id", "n_shingles", "path", "sketch"))
 
     tree = F.posexplode(F.slice("path", 1, s.trees)).alias("tree", "value")
-    rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("comp"), tree)
-    rows = rows.select(F.xxhash64("tree", "value").alias("key"), "id", "n", "comp")
-    level = settled(_nodes(rows))
-    touched = settled(level.select(F.col("id").alias("t")).distinct())
-    texts = settled(d.join(touched, F.col("doc_id") == F.col("t"), "left_semi"))
-    links = settled(_verified(_likely(_pairs(level, s), reps, s), texts, s))
+    shared = paths.shared(reps.select(F.col("doc_id").alias("id"), tree).select(F.xxhash64("tree", "value").alias("key"), "id"))
+    size = reps.select(F.col("doc_id").alias("i"), F.col("n_shingles").alias("n"))
+    no_path = F.lit(None).cast("array<bigint>").alias("path")
+    level = settled(paths.nodes(shared.join(size, F.col("id") == F.col("i")).select("key", "id", "n", F.col("id").alias("comp"), no_path)))
+    likely = settled(_likely(paths.pairs(level, s.minority, _alike(s)), reps, s))
+    links = settled(_verified(likely, _texts(d, _ends(likely)), s))
     found = settled(components(links))
 
     path = reps.select(F.col("doc_id").alias("p"), "path")
     comp = found.select(F.col("id").alias("i"), "component")
     level = level.where(F.col("minority") > s.minority).select("key", "id", "n").join(path, F.col("id") == F.col("p")).join(comp, F.col("id") == F.col("i"), "left")
-    level = settled(_nodes(level.select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "path")))
-    deeper = []
-    for depth in range(s.depth):
-        # A node that has been compared in full has its minority within the bound; the others go on.
-        deeper.append(_pairs(level, s) if depth + 1 < s.depth else _pairs(level.withColumn("minority", F.lit(0)), s))
-        if level.where(F.col("minority") > s.minority).isEmpty():
+    level = settled(paths.nodes(level.select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "path")))
+    pairs, small = [], []
+    for depth in range(s.depth + 1):
+        # Nodes with a small minority give pairs, small nodes are compared exhaustively, and the others branch; at the last level none is left.
+        pairs.append(paths.pairs(level, s.minority, _alike(s)))
+        rest = level.where(F.col("minority") > s.minority)
+        sizes = rest.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+        large = (F.col("rows") > s.node_rows) | (F.col("shingles") > s.node_shingles)
+        sizes = sizes.select(F.col("key").alias("k"), large.alias("large"))
+        rest = settled(rest.join(sizes, F.col("key") == F.col("k")).drop("k"))
+        small.append(rest.where("NOT large").select("key", "id"))
+        rest = rest.where("large")
+        if rest.isEmpty():
             break
-        level = settled(_nodes(_children(level, s)))
-    more = deeper[0]
-    for x in deeper[1:]:
-        more = more.unionByName(x)
-    links2 = settled(_verified(_likely(more, reps, s), texts, s))
+        if depth == s.depth:
+            small.append(_in_block_pairs(rest, s))
+        else:  # coordinates that no level above has used
+            picks = [s.trees + depth * s.branches + b for b in range(s.branches)]
+            level = settled(paths.nodes(paths.children(rest, s.minority, F.array(*[F.lit(x) for x in picks]))))
+    likely = settled(_likely(reduce(DataFrame.unionByName, pairs).distinct(), reps, s))
+    small = settled(reduce(DataFrame.unionByName, small).distinct())
+    texts = _texts(d, _ends(likely).unionByName(small.select("id")).distinct())
+    links2 = settled(_verified(likely, texts, s).unionByName(_exhaustive(small, texts, s)))
     if not links2.isEmpty():
         found = settled(components(links.unionByName(links2)))
 

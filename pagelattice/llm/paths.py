@@ -8,11 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.llm.tables import maybe_among, settled
+
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key occurs more than once."""
-    often = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where("c > 1").select("k")
-    return rows.join(often, F.col("key") == F.col("k")).drop("k")
+    """Of (key, id), the rows whose key occurs more than once.
+
+    Most such keys occur twice, and then their least and greatest id are the rows; only for the others the rows are gone over again.
+    """
+    often = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c > 1")
+    often = settled(often)
+    two = often.where("c = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))
+    keys = often.where("c > 2").select(F.col("key").alias("k"))
+    more = maybe_among(rows, F.col("key"), keys).select("key", "id").join(keys, F.col("key") == F.col("k"), "left_semi")
+    return two.unionByName(more)
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -40,9 +49,8 @@ def pairs(members: DataFrame, minority: int, alike: Column) -> DataFrame:
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def children(members: DataFrame, minority: int, branches: int, coordinates: int) -> DataFrame:
-    """The next level of each unsettled node: it picks coordinates by its path, and members branch by their minhash there."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(branches - 1))).alias("branch")
-    picked = members.where(F.col("minority") > minority).select("key", "id", "n", "comp", "path", step)
-    value = F.element_at("path", F.pmod(F.xxhash64("key", "branch"), F.lit(coordinates)).cast("int") + 1)
-    return picked.where(value.isNotNull()).select(F.xxhash64("key", "branch", value).alias("key"), "id", "n", "comp", "path")
+def children(members: DataFrame, minority: int, picks: Column) -> DataFrame:
+    """The next level of each unsettled node: ``picks`` are the coordinates (from 0) that its members branch by."""
+    picked = members.where(F.col("minority") > minority).select("key", "id", "n", "comp", "path", F.explode(picks).alias("pick"))
+    value = F.get("path", F.col("pick"))
+    return picked.where(value.isNotNull()).select(F.xxhash64("key", "pick", value).alias("key"), "id", "n", "comp", "path")
