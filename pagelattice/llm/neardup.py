@@ -19,31 +19,37 @@ from pagelattice.llm.tables import maybe_among, pick, settled
 
 @dataclass(frozen=True)
 class Settings:
-    """A pair at the threshold survives a tree with probability 0.67 or more, so 16 trees lose about one in 10**8 of them.
+    """A pair at the threshold survives a tree with probability 0.67. Nodes draw their coordinates from ``coordinates`` minhashes beside those of
+    the trees; as these are few, 16 trees of all levels lose about 3 in 10**5 of such pairs, and one in 10**8 if all were independent.
 
     ``minority``: a node's pairs are listed when all but so many of its documents are in one component already; that is
-    linear in the node. ``node_rows`` and ``node_shingles`` bound a node that is compared exhaustively in one task. ``likely`` is the agreement of the sketches below which a pair is not verified: with 128
-    entries a pair at 0.75 is six standard deviations above it.
+    linear in the node. ``node_rows`` and ``node_shingles`` bound a node that is compared exhaustively in one task. A node with a child of ``shrink``
+    of its rows or more is compared by pairs of blocks, as branching would repeat its rows more often. ``likely`` is the agreement of the
+    sketches below which a pair is not verified: with 128 entries a pair at 0.75 is six standard deviations above it.
     """
 
     words: int = 5
     percent: int = 75
     trees: int = 16
-    coordinates: int = 40
+    coordinates: int = 64
     sketch: int = 128
     minority: int = 16
     branches: int = 2
     depth: int = 12
+    shrink: float = 0.7
     node_rows: int = 1024
     node_shingles: int = 2_000_000
     likely: float = 0.5
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, path array<long>, sketch binary"
+SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, trees array<long>, path array<int>, sketch binary"
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """A row per document: set size, a 128-bit fingerprint of the set, minhashes for the paths, a byte of each minhash as a sketch."""
+    """A row per document: set size, a 128-bit fingerprint of the set, minhashes for the paths, a byte of each minhash as a sketch.
+
+    ``trees`` are whole minhashes, ``path`` are 32 bits of those that nodes branch by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = multipliers(s.sketch)
@@ -54,14 +60,16 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 sets = shingle_sets(texts[part], s.words)
                 least = minhashes(sets, a)
                 prints = np.array([[np.bitwise_xor.reduce(x * m) if k else np.sum((x ^ (x >> np.uint64(31))) * m, dtype=np.uint64) for k, m in enumerate(f)] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                path = np.ascontiguousarray(least[:, : s.coordinates]).view(np.int64)
+                trees = np.ascontiguousarray(least[:, : s.trees]).view(np.int64)
+                path = (least[:, s.trees : s.trees + s.coordinates] >> np.uint64(16)).astype(np.uint32).view(np.int32)
                 low = (least >> np.uint64(40)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(part.start, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * s.coordinates), pa.array(path.ravel())), pa.array([r.tobytes() for r in low], pa.binary()),
+                        *[pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (trees, path)],
+                        pa.array([r.tobytes() for r in low], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "path", "sketch"],
+                    ["doc_id", "n_shingles", "f1", "f2", "trees", "path", "sketch"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
@@ -177,13 +185,32 @@ def _exhaustive(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "a long, b long")
 
 
+def _joined_nodes(members: DataFrame) -> DataFrame:
+    """(key, id, n, comp): nodes that have half of their members in common as one, so what meets in many trees is compared once."""
+    mine = members.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    both = mine.select(F.get("keys", F.lit(0)).alias("a"), F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("rows"))
+    of = lambda c: sizes.select(F.col("key").alias(f"k{c}"), F.col("rows").alias(f"rows_{c}"))
+    both = both.join(of("a"), F.col("a") == F.col("ka")).join(of("b"), F.col("b") == F.col("kb"))
+    whole = components(both.where(F.col("common") * 2 >= F.least("rows_a", "rows_b")).select("a", "b")).select(F.col("id").alias("k"), "component")
+    return members.join(whole, F.col("key") == F.col("k"), "left").select(F.coalesce("component", "key").alias("key"), "id", "n", "comp").distinct()
+
+
 def _in_block_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Nodes of any size as bounded nodes: members are dealt into blocks, and each two blocks of a node make a node."""
+    """Nodes of any size as bounded nodes: members are dealt into blocks, and each two blocks of a node make a node.
+
+    The main component has blocks of its own, which only meet those of the minority: what is linked already needs no comparison.
+    """
     half = s.node_rows // 2
-    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / half), F.ceil(2 * F.sum("n") / s.node_shingles)).alias("blocks")).select(F.col("key").alias("k"), "blocks")
-    dealt = members.join(sizes, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return dealt.select("key", "id", "block", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id")
+    main = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main")).select(F.col("key").alias("k"), "main")
+    dealt = settled(members.join(main, F.col("key") == F.col("k")).select("key", "id", "n", (F.col("comp") == F.col("main")).alias("is_main")))
+    blocks = F.greatest(F.ceil(F.count("*") / half), F.ceil(2 * F.sum("n") / s.node_shingles))
+    sizes = dealt.groupBy("key", "is_main").agg(blocks.alias("blocks")).groupBy("key")
+    sizes = sizes.agg(F.max(F.when(F.col("is_main"), F.col("blocks"))).alias("mains"), F.max(F.when(~F.col("is_main"), F.col("blocks"))).alias("minors")).select(F.col("key").alias("k"), "mains", "minors")
+    block = F.when(F.col("is_main"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") + F.when(F.col("is_main"), 0).otherwise(F.col("mains")) - 1)).alias("other")
+    dealt = dealt.join(sizes, F.col("key") == F.col("k")).where("minors > 0").select("key", "id", block.alias("block"), other).where("block != other")
+    return dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -194,24 +221,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     tree sends a class to the node of one of its minhashes; a node that holds several components compares its first member with
     all, and its minority with all once that is small. Links found so are verified and unified, which ends most nodes: one with a single
     component is dropped, without loss, so a huge group of near copies stays linear. Of the others, small nodes are compared exhaustively and large ones branch
-    again by minhashes that their path chooses. What is still large at the last level is compared by pairs of blocks. Candidates are verified on the full sets of whole texts.
+    again by minhashes that their key chooses. What is still large at the last level, or hardly gets smaller, is compared by pairs of blocks. Candidates are verified on the full sets of whole texts.
 
     A text that is null or has no words has an empty set: n_shingles 0, linked with nothing, kept. Rows without an id are left
     out; of rows that repeat an id, the largest text in order counts; empty tables give no rows.
     """
     d = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settled(signatures(d, s).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "f1", "f2", "path", "sketch")).alias("x")).select("doc_id", "x.*"))
+    signed = settled(signatures(d, s).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "f1", "f2", "trees", "path", "sketch")).alias("x")).select("doc_id", "x.*"))
     full = signed.where("n_shingles > 0")
     same = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = same.where("copies > 1").select(F.col("n_shingles").alias("m"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep")
     copied = full.select("doc_id", "n_shingles", "f1", "f2").join(copies, (F.col("n_shingles") == F.col("m")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).where("doc_id != rep")
     copied = settled(copied.select("doc_id", "rep"))
-    reps = settled(full.join(copied.select(F.col("doc_id").alias("c")), F.col("doc_id") == F.col("c"), "left_anti").select("doc_id", "n_shingles", "path", "sketch"))
+    reps = settled(full.join(copied.select(F.col("doc_id").alias("c")), F.col("doc_id") == F.col("c"), "left_anti").select("doc_id", "n_shingles", "trees", "path", "sketch"))
 
-    tree = F.posexplode(F.slice("path", 1, s.trees)).alias("tree", "value")
+    tree = F.posexplode("trees").alias("tree", "value")
     shared = paths.shared(reps.select(F.col("doc_id").alias("id"), tree).select(F.xxhash64("tree", "value").alias("key"), "id"))
     size = reps.select(F.col("doc_id").alias("i"), F.col("n_shingles").alias("n"))
-    no_path = F.lit(None).cast("array<bigint>").alias("path")
+    no_path = F.lit(None).cast("array<int>").alias("path")
     level = settled(paths.nodes(shared.join(size, F.col("id") == F.col("i")).select("key", "id", "n", F.col("id").alias("comp"), no_path)))
     likely = settled(_likely(paths.pairs(level, s.minority, _alike(s)), reps, s))
     links = settled(_verified(likely, _texts(d, _ends(likely)), s))
@@ -220,25 +247,30 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     path = reps.select(F.col("doc_id").alias("p"), "path")
     comp = found.select(F.col("id").alias("i"), "component")
     level = level.where(F.col("minority") > s.minority).select("key", "id", "n").join(path, F.col("id") == F.col("p")).join(comp, F.col("id") == F.col("i"), "left")
-    level = settled(paths.nodes(level.select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "path")))
-    pairs, small = [], []
+    level = settled(paths.nodes(level.select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "path", F.lit(0).cast("long").alias("used"))))
+    pairs, small, slow = [], [], []
     for depth in range(s.depth + 1):
         # Nodes with a small minority give pairs, small nodes are compared exhaustively, and the others branch; at the last level none is left.
         pairs.append(paths.pairs(level, s.minority, _alike(s)))
         rest = level.where(F.col("minority") > s.minority)
-        sizes = rest.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+        sizes = rest.groupBy("key", "used").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
         large = (F.col("rows") > s.node_rows) | (F.col("shingles") > s.node_shingles)
-        sizes = sizes.select(F.col("key").alias("k"), large.alias("large"))
+        sizes = sizes.select(F.col("key").alias("k"), "rows", large.alias("large"), paths.picks(s.coordinates, s.branches).alias("picks"))
         rest = settled(rest.join(sizes, F.col("key") == F.col("k")).drop("k"))
         small.append(rest.where("NOT large").select("key", "id"))
         rest = rest.where("large")
         if rest.isEmpty():
             break
         if depth == s.depth:
-            small.append(_in_block_pairs(rest, s))
-        else:  # coordinates that no level above has used
-            picks = [s.trees + depth * s.branches + b for b in range(s.branches)]
-            level = settled(paths.nodes(paths.children(rest, s.minority, F.array(*[F.lit(x) for x in picks]))))
+            slow.append(rest.select("key", "id", "n", "comp"))
+        else:
+            below = settled(paths.children(rest.withColumn("up", F.col("key")), "up", "rows"))
+            most = below.groupBy("key", "up", "rows").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("rows") * s.shrink)
+            stuck = settled(most.select(F.col("up").alias("k")).distinct())
+            slow.append(rest.join(stuck, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "comp"))
+            level = settled(paths.nodes(below.join(stuck, F.col("up") == F.col("k"), "left_anti").drop("up", "rows")))
+    if slow:
+        small.append(_in_block_pairs(settled(_joined_nodes(settled(reduce(DataFrame.unionByName, slow)))), s))
     likely = settled(_likely(reduce(DataFrame.unionByName, pairs).distinct(), reps, s))
     small = settled(reduce(DataFrame.unionByName, small).distinct())
     texts = _texts(d, _ends(likely).unionByName(small.select("id")).distinct())

@@ -1,6 +1,7 @@
 """The nodes of a chosen-path similarity join as tables. DataFrame operations only.
 
-Rows are (key, id, n, comp, path): a member of a node, its set size, its component so far and its minhashes.
+Rows are (key, id, n, comp, path): a member of a node, its set size, its component so far and its minhashes. Rows that branch also
+have ``used``, a bit for each coordinate that their path has used, so there are at most 64 coordinates.
 """
 
 from __future__ import annotations
@@ -49,8 +50,16 @@ def pairs(members: DataFrame, minority: int, alike: Column) -> DataFrame:
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def children(members: DataFrame, minority: int, picks: Column) -> DataFrame:
-    """The next level of each unsettled node: ``picks`` are the coordinates (from 0) that its members branch by."""
-    picked = members.where(F.col("minority") > minority).select("key", "id", "n", "comp", "path", F.explode(picks).alias("pick"))
+def picks(coordinates: int, branches: int) -> Column:
+    """The coordinates (from 0) that a node (key, used) branches by: the first unused ones in an order of its own, so nodes differ in them as trees do."""
+    unused = F.filter(F.sequence(F.lit(0), F.lit(coordinates - 1)), lambda i: F.getbit("used", i) == 0)
+    ordered = F.array_sort(F.transform(unused, lambda i: F.struct(F.xxhash64("key", i).alias("h"), i.alias("i"))))
+    return F.transform(F.slice(ordered, 1, branches), lambda x: x["i"])
+
+
+def children(members: DataFrame, *keep: str) -> DataFrame:
+    """The next level of nodes: each member goes to a child for each coordinate of its node's ``picks``."""
+    picked = members.select("key", "id", "n", "comp", "path", "used", *keep, F.explode("picks").alias("pick"))
     value = F.get("path", F.col("pick"))
-    return picked.where(value.isNotNull()).select(F.xxhash64("key", "pick", value).alias("key"), "id", "n", "comp", "path")
+    used = F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pick")))
+    return picked.where(value.isNotNull()).select(F.xxhash64("key", "pick", value).alias("key"), "id", "n", "comp", "path", used.alias("used"), *keep)

@@ -73,6 +73,28 @@ def test_near_duplicates_equal_brute_force(spark, settings):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("other", [{}, {"shrink": 2.0}])
+def test_near_duplicates_in_a_group_just_below_the_threshold(spark, other):
+    rng = np.random.default_rng(21)
+    core, texts = words(rng, 255, 10**6), []
+    for k in range(400):  # alike to 0.74, so that no node gets small before the last level
+        own = words(rng, 45, 10**6)
+        texts.append(" ".join(core + own))
+        if k < 100:  # a planted partner, alike to 0.75 or a little more
+            own[-42 + k % 3 :] = words(rng, 42 - k % 3, 10**6)
+            texts.append(" ".join(core + own))
+    texts = list(enumerate(texts))
+    _, root = expected_groups(texts)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts, False), neardup.Settings(minority=1, node_rows=64, depth=3, **other)).collect()}
+    assert len(set(root.values())) < len(texts) - 50 and got == root
+
+
+def test_nodes_differ_in_their_coordinates(spark):
+    rows = spark.range(200).select(F.col("id").alias("key"), F.lit(0b1011).cast("long").alias("used"))
+    got = [tuple(r.p) for r in rows.select(paths.picks(64, 2).alias("p")).collect()]
+    assert all(len({*p, 0, 1, 3}) == 5 and max(p) < 64 for p in got) and len(set(got)) > 150
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(frame(spark, []).limit(0)).count() == 0
     rows = neardup.near_duplicates(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)])).collect()
