@@ -185,34 +185,6 @@ def _exhaustive(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "a long, b long")
 
 
-def _joined_nodes(members: DataFrame) -> DataFrame:
-    """(key, id, n, comp): nodes that have half of their members in common as one, so what meets in many trees is compared once."""
-    mine = members.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
-    both = mine.select(F.get("keys", F.lit(0)).alias("a"), F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("rows"))
-    of = lambda c: sizes.select(F.col("key").alias(f"k{c}"), F.col("rows").alias(f"rows_{c}"))
-    both = both.join(of("a"), F.col("a") == F.col("ka")).join(of("b"), F.col("b") == F.col("kb"))
-    whole = components(both.where(F.col("common") * 2 >= F.least("rows_a", "rows_b")).select("a", "b")).select(F.col("id").alias("k"), "component")
-    return members.join(whole, F.col("key") == F.col("k"), "left").select(F.coalesce("component", "key").alias("key"), "id", "n", "comp").distinct()
-
-
-def _in_block_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Nodes of any size as bounded nodes: members are dealt into blocks, and each two blocks of a node make a node.
-
-    The main component has blocks of its own, which only meet those of the minority: what is linked already needs no comparison.
-    """
-    half = s.node_rows // 2
-    main = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main")).select(F.col("key").alias("k"), "main")
-    dealt = settled(members.join(main, F.col("key") == F.col("k")).select("key", "id", "n", (F.col("comp") == F.col("main")).alias("is_main")))
-    blocks = F.greatest(F.ceil(F.count("*") / half), F.ceil(2 * F.sum("n") / s.node_shingles))
-    sizes = dealt.groupBy("key", "is_main").agg(blocks.alias("blocks")).groupBy("key")
-    sizes = sizes.agg(F.max(F.when(F.col("is_main"), F.col("blocks"))).alias("mains"), F.max(F.when(~F.col("is_main"), F.col("blocks"))).alias("minors")).select(F.col("key").alias("k"), "mains", "minors")
-    block = F.when(F.col("is_main"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") + F.when(F.col("is_main"), 0).otherwise(F.col("mains")) - 1)).alias("other")
-    dealt = dealt.join(sizes, F.col("key") == F.col("k")).where("minors > 0").select("key", "id", block.alias("block"), other).where("block != other")
-    return dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id")
-
-
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document.
 
@@ -270,7 +242,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             slow.append(rest.join(stuck, F.col("key") == F.col("k"), "left_semi").select("key", "id", "n", "comp"))
             level = settled(paths.nodes(below.join(stuck, F.col("up") == F.col("k"), "left_anti").drop("up", "rows")))
     if slow:
-        small.append(_in_block_pairs(settled(_joined_nodes(settled(reduce(DataFrame.unionByName, slow)))), s))
+        small.append(paths.block_pairs(settled(paths.joined(settled(reduce(DataFrame.unionByName, slow)))), s.node_rows, s.node_shingles))
     likely = settled(_likely(reduce(DataFrame.unionByName, pairs).distinct(), reps, s))
     small = settled(reduce(DataFrame.unionByName, small).distinct())
     texts = _texts(d, _ends(likely).unionByName(small.select("id")).distinct())

@@ -165,6 +165,21 @@ def test_lines_equal_brute_force(spark, minority):
     assert sum(got[k] != want[k] for k in want) <= 0.01 * len(want)  # the bands' stated recall
 
 
+@pytest.mark.parametrize("node_rows", [256, 32])
+def test_lines_with_many_variants(spark, node_rows):
+    rng = np.random.default_rng(31)
+    draw = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    core, texts = draw(260), []
+    for k in range(150):  # alike to 0.68, so that no band gets small
+        own = draw(54)
+        texts += [core + own, core + own[: 54 - 39 + k % 4] + draw(39 - k % 4)]  # a planted partner, alike to 0.77 or a little more
+    texts = list(enumerate(texts))
+    s = lines.Settings(node_rows=node_rows, depth=2)
+    want = expected_lines(texts, s)
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in lines.line_classes(frame(spark, texts, False), s).collect()}
+    assert len(set(want.values())) <= 160 and sum(got[k] != want[k] for k in want) <= 0.01 * len(want)
+
+
 def test_deduplicated_texts(spark):
     texts = line_texts()
     df = frame(spark, texts)
