@@ -43,9 +43,14 @@ def _shingles(df: DataFrame, n: int, *keep: str) -> DataFrame:
 
 
 def _simhash(shingles: DataFrame, *key: str) -> DataFrame:
-    """(key..., print): 64-bit SimHash of the shingles of each key, by 64 partial sums."""
-    bits = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    sums = shingles.groupBy(*key).agg(F.count("*").alias("n"), *bits)
+    """(key..., print): 64-bit SimHash of the weighted shingles of each key, by 64 partial sums.
+
+    A shingle counts with the root of its weight, so the cosine that the bits follow is that of the weights which
+    the verification adds up. The roots are whole numbers, so sums do not depend on the order.
+    """
+    root = F.round(F.sqrt("weight") * F.lit(1 << 20)).cast("long")
+    bits = [F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("root")).otherwise(0)).alias(f"b{b}") for b in range(64)]
+    sums = shingles.select(*key, "h", root.alias("root")).groupBy(*key).agg(F.sum("root").alias("n"), *bits)
     parts = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
     return sums.select(*key, reduce(lambda x, y: x.bitwiseOR(y), parts).alias("print"))
 
@@ -62,7 +67,7 @@ def windows(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     """(doc_id, item_id, start, similarity): the item-sized windows of documents that are similar to a benchmark item.
 
     A window has as many words as its item and starts where the item would if a shared shingle stands in both; windows that share none
-    have similarity 0 and are never made. Windows and items get a 64-bit SimHash; pairs that agree in one of ``radius`` + 1 blocks
+    have similarity 0 and are never made. Windows and items get a 64-bit SimHash of their weighted shingles; pairs that agree in one of ``radius`` + 1 blocks
     and differ in at most ``radius`` bits are verified: the weight of common shingles is ``percent`` of the weight of all or more, where
     a shingle that k items have weighs 1 / k and any other 1. Words are cut at blanks and lower-cased; an item with fewer words than a
     shingle is one shingle. Null texts and ids, and texts without words, take no part. Of items that repeat an id, the largest text
@@ -94,21 +99,22 @@ def windows(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     first = F.greatest(F.col("start"), F.lit(0))
     cut = settled(cut.select("doc_id", "item_id", "start", "k", F.slice("words", first + 1, F.col("start") + F.col("size") - first).alias("words")))
     key = ["doc_id", "item_id", "start"]
-    shingles = settled(reduce(DataFrame.unionByName, [_shingles(cut.where(F.col("k") == n), n, *key) for n in sorted(sizes)]).select(*key, "h").distinct())
+    w = settled(weights.select(F.col("h").alias("g"), "weight"))
+    shingles = reduce(DataFrame.unionByName, [_shingles(cut.where(F.col("k") == n), n, *key) for n in sorted(sizes)]).select(*key, "h").distinct()
+    shingles = settled(shingles.join(w, F.col("h") == F.col("g"), "left").select(*key, "h", F.coalesce("weight", F.lit(1.0)).alias("weight")))
 
-    item_set = item_shingles.select("item_id", "h").distinct()
+    item_set = item_shingles.select("item_id", "h").distinct().join(w, F.col("h") == F.col("g")).select("item_id", "h", "weight")
     item_blocks = _blocks(_simhash(item_set, "item_id"), s, "item_id").select(F.col("item_id").alias("i"), F.col("print").alias("print2"), F.col("block").alias("block2"), F.col("value").alias("value2"))
     mine = _blocks(_simhash(shingles, *key), s, *key)
     near = mine.join(item_blocks, (F.col("item_id") == F.col("i")) & (F.col("block") == F.col("block2")) & (F.col("value") == F.col("value2")))
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= s.radius).select(*key).distinct()
 
     keyed = near.select(*[F.col(c).alias(f"{c}_") for c in key])
-    checked = shingles.join(keyed, (F.col("doc_id") == F.col("doc_id_")) & (F.col("item_id") == F.col("item_id_")) & (F.col("start") == F.col("start_"))).select(*key, "h")
-    w = weights.select(F.col("h").alias("g"), "weight")
-    weighed = item_set.join(w, F.col("h") == F.col("g")).select(F.col("item_id").alias("i"), F.col("h").alias("h2"), F.col("weight").alias("common"))
+    checked = shingles.join(keyed, (F.col("doc_id") == F.col("doc_id_")) & (F.col("item_id") == F.col("item_id_")) & (F.col("start") == F.col("start_"))).select(*key, "h", "weight")
+    weighed = item_set.select(F.col("item_id").alias("i"), F.col("h").alias("h2"), F.col("weight").alias("common"))
     totals = weighed.groupBy("i").agg(F.sum("common").alias("item_weight"))
-    checked = checked.join(w, F.col("h") == F.col("g"), "left").join(weighed, (F.col("item_id") == F.col("i")) & (F.col("h") == F.col("h2")), "left")
-    sums = checked.groupBy(*key).agg(F.sum(F.coalesce("common", F.lit(0.0))).alias("common"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("own"))
+    checked = checked.join(weighed, (F.col("item_id") == F.col("i")) & (F.col("h") == F.col("h2")), "left")
+    sums = checked.groupBy(*key).agg(F.sum(F.coalesce("common", F.lit(0.0))).alias("common"), F.sum("weight").alias("own"))
     sums = sums.join(totals, F.col("item_id") == F.col("i"))
     similarity = F.round(F.col("common") / (F.col("own") + F.col("item_weight") - F.col("common")), 9)
     return sums.select(*key, similarity.alias("similarity")).where(F.col("similarity") * 100 >= s.percent)
