@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import backoff, decontaminate, language, licenses, lines, mixing, neardup, repeats, token_counts, topk
+from pagelattice.llm import backoff, centroids, codebooks, decontaminate, fingerprints, language, licenses, lines, mixing, neardup, repeats, token_counts, topk
 from pagelattice.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,83 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @_query
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.kept_lines(table(spark, folder, "documents"))
+
+
+@_query
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.digest(table(spark, folder, "embeddings"))
+
+
+@_query
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.near_duplicates(table(spark, folder, "documents"))
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codebooks.digest(table(spark, folder, "embeddings"))
+
+
+# Squared distance of two integer lists, and the floor of sum / count.
+_SQUARE = "CAST(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))) AS BIGINT)"
+_FLOOR = "CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END"
+
+
+def _clustering_sql(rounds: int = 5) -> str:
+    """The rounds written out one by one: a<r> assigns the vectors to the centroids c<r>."""
+    steps = ["""
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS k, w FROM v ORDER BY k LIMIT 40
+)"""]
+    for r in range(rounds + 1):
+        d = _SQUARE.format(a="v.w", b="c.w")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, v.w, c.k, {d} AS d FROM v CROSS JOIN c{r} c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, c.k) = 1)")
+        if r < rounds:
+            steps.append(f"""s{r} AS MATERIALIZED (
+  SELECT k, i, CAST(sum(w[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, w, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY k, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT k, list({_FLOOR} ORDER BY i) AS w FROM s{r} GROUP BY k UNION ALL SELECT k, w FROM c{r} WHERE k NOT IN (SELECT k FROM a{r})
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds written out one by one: a<r> assigns the parts (vec_id, p) to the entries of c<r>."""
+    steps = ["""
+v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), w AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(x, 8 * p + 1, 8 * p + 8) AS w FROM (SELECT *, unnest(range(0, 8)) AS p FROM v)
+), c0 AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS k, w FROM w QUALIFY k < 16
+)"""]
+    for r in range(rounds + 1):
+        d = _SQUARE.format(a="w.w", b="c.w")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT w.vec_id, w.label, w.p, w.w, c.k, {d} AS d FROM w JOIN c{r} c USING (p) QUALIFY row_number() OVER (PARTITION BY w.vec_id, w.p ORDER BY d, c.k) = 1)")
+        if r < rounds:
+            steps.append(f"""s{r} AS MATERIALIZED (
+  SELECT p, k, i, CAST(sum(w[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, k, w, unnest(range(1, 9)) AS i FROM a{r}) GROUP BY p, k, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT p, k, list({_FLOOR} ORDER BY i) AS w FROM s{r} GROUP BY p, k UNION ALL SELECT p, k, w FROM c{r} WHERE (p, k) NOT IN (SELECT (p, k) FROM a{r})
+)""")
+    return "WITH " + ", ".join(steps) + f""", f AS (
+  SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM f
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
