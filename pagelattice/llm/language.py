@@ -205,29 +205,57 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     return fit(sample(rows, settings), idf, settings)
 
 
+def _table(model: Model) -> np.ndarray:
+    return np.c_[model.weights * model.idf[:, None], model.idf].astype(np.float32) if model.languages else np.zeros((1 << model.bits, 1), np.float32)
+
+
+def _judge(texts: list, model: Model, table: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of the texts of a batch; null ones are ``und``."""
+    names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if t is not None] if model.languages else []
+    for part in parts([texts[i] for i in known]):
+        own = known[part]
+        hashed, begins = features([texts[i] for i in own], model.bits, model.orders)
+        sums = np.stack([np.add.reduceat(c[hashed], begins, dtype=np.float64) for c in np.ascontiguousarray(table.T)], 1)
+        p = _softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1e-12) + model.bias) / model.temperature)
+        for i, row in zip(own, p):
+            best = int(np.argmax(row))
+            names[i], scores[i] = model.languages[best], row[best]
+    return names, scores
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) from whole texts: ``und`` with score 0 if a text is null or has no letter, or nothing was learned."""
     judged = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
-    table = np.c_[model.weights * model.idf[:, None], model.idf].astype(np.float32) if model.languages else np.zeros((1 << model.bits, 1), np.float32)
+    table = _table(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if t is not None] if model.languages else []
-            for part in parts([texts[i] for i in known]):
-                own = known[part]
-                hashed, begins = features([texts[i] for i in own], model.bits, model.orders)
-                sums = np.stack([np.add.reduceat(c[hashed], begins, dtype=np.float64) for c in np.ascontiguousarray(table.T)], 1)
-                p = _softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1e-12) + model.bias) / model.temperature)
-                for i, row in zip(own, p):
-                    best = int(np.argmax(row))
-                    names[i], scores[i] = model.languages[best], row[best]
+            names, scores = _judge(batch.column(1).to_pylist(), model, table)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return judged.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, least_score: float, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text's language is told with ``least_score`` or more.
+
+    Each row is judged by its own text and goes on or not in the scan that judges it, so nothing is shuffled. Rows with a null or
+    letterless text or without an id go, and all rows where nothing was learned; rows that repeat an id are judged one by one. An
+    empty table gives no rows.
+    """
+    model = train(pick(docs, "doc_id", "text", "lang").where(~in_fold()), settings)
+    table, at, id_at = _table(model), docs.columns.index("text"), docs.columns.index("doc_id")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).where(F.col(f"c{id_at}").isNotNull() & F.col(f"c{at}").rlike(r"\p{L}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = _judge(batch.column(at).to_pylist(), model, table)
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores.tolist())], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def in_fold(doc_id: str = "doc_id") -> F.Column:
     """Whether a document is held out: crc32 of its id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -110,6 +110,21 @@ def test_languages_are_told_apart(spark):
     assert language.identify(both.limit(0)).count() == 0
 
 
+def test_recognised_rows_keep_their_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(10**6 + i, t, "en", "s", 0) for i, t in enumerate([None, "", " 12 %$ "])] + [(None, "the of and the house of the", "en", "s", 0)]
+    twice = docs.limit(1).withColumn("text", F.lit(None).cast("string"))
+    both = docs.unionByName(spark.createDataFrame(odd, SCHEMA)).unionByName(twice).withColumn("extra", F.lit(7))
+    both = both.select("*", F.lit("other").alias("TEXT"))  # a clashing name
+    model = language.train(docs.where(~language.in_fold()))
+    wanted = language.predict(both, model).where("doc_id IS NOT NULL AND lang_pred <> 'und' AND score >= 0.3").count()
+    got = language.recognised(both, 0.3)
+    rows = got.collect()
+    assert got.columns == both.columns and len(rows) == wanted and wanted >= 0.9 * docs.count()
+    assert all(r[0] is not None and r[1] is not None and r[0] < 10**6 and r[5:] == (7, "other") for r in rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_character_features():
     hashed, begins = language.features(["ab", "", "éxy"], 15, (1, 2, 3))
     assert np.diff(np.r_[begins, len(hashed)]).tolist() == [9, 3, 12]
@@ -268,4 +283,4 @@ def test_pipeline(spark):
 
 def test_queries_are_registered_once_each():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
