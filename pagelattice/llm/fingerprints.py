@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pagelattice.llm import golay
 from pagelattice.llm.components import components
 from pagelattice.llm.paths import block_pairs
-from pagelattice.llm.tables import maybe_among, pick, settled
+from pagelattice.llm.tables import maybe_among, pick, rows_per, settled
 
 RADIUS = 4
 SEED = 42
 # Fingerprints of one bounded group: two of them are compared as a matrix of this many rows and columns at most.
 GROUP_ROWS = 4096
+# Fingerprints whose keys one task makes.
+KEYED_ROWS = 1 << 14
 
 
 def simhash(text: str | None, n: int = 4) -> int:
@@ -61,7 +63,8 @@ def _keys(prints: DataFrame) -> DataFrame:
                 row, key = golay.keys(own.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row])], ["key", "id"])
 
-    return prints.select("id").mapInArrow(run, "key long, id long")
+    # A fingerprint of 8 bytes makes some 96 keys, so files of them are dealt into bounded tasks first.
+    return prints.select("id").repartition(rows_per(prints.count(), KEYED_ROWS), "id").mapInArrow(run, "key long, id long")
 
 
 def _near(a: str, b: str) -> Column:
