@@ -35,11 +35,11 @@ STORE_TABLES = {
 }
 
 
-def _both(store: DataFrame, new: DataFrame, name: str) -> DataFrame:
-    """Store rows (src 0) and slice rows (src 1), slices in project order."""
+def _both(store: DataFrame, new: DataFrame, name: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Store rows (src 0) and slice rows (src 1), slices in project order. ``also`` names columns that depend on the row's owner alone."""
     if name == "evidence" and "source_project" not in new.columns:
         new = new.withColumn("source_project", F.col("project_slug"))
-    cols = STORE_TABLES[name]
+    cols = [*STORE_TABLES[name], *also]
     order = F.col("project_slug") if "project_slug" in new.columns else F.lit("")
     return store.select(*cols, F.lit(0).alias("src"), F.lit("").alias("_p")).unionByName(
         new.select(*cols, F.lit(1).alias("src"), order.alias("_p"))
@@ -67,45 +67,45 @@ def _first_wins(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def merge_entities(store: DataFrame, new: DataFrame) -> DataFrame:
-    df = _both(store, new, "entities").withColumn("visibility", _published())
-    return _first_wins(df, STORE_TABLES["entities"])
+def merge_entities(store: DataFrame, new: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    df = _both(store, new, "entities", also).withColumn("visibility", _published())
+    return _first_wins(df, [*STORE_TABLES["entities"], *also])
 
 
-def merge_relationships(store: DataFrame, new: DataFrame) -> DataFrame:
-    df = _both(store, new, "relationships").withColumn("visibility", _published())
-    return _first_wins(df, STORE_TABLES["relationships"])
+def merge_relationships(store: DataFrame, new: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    df = _both(store, new, "relationships", also).withColumn("visibility", _published())
+    return _first_wins(df, [*STORE_TABLES["relationships"], *also])
 
 
-def merge_evidence(store: DataFrame, new: DataFrame) -> DataFrame:
+def merge_evidence(store: DataFrame, new: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Stored provenance is kept; a record seen again is no longer stale."""
-    df = _first_wins(_both(store, new, "evidence"), STORE_TABLES["evidence"])
+    df = _first_wins(_both(store, new, "evidence", also), [*STORE_TABLES["evidence"], *also])
     return df.withColumn("stale", F.col("stale") & ~F.col("updated"))
 
 
-def merge_links(store: DataFrame, new: DataFrame, name: str) -> DataFrame:
+def merge_links(store: DataFrame, new: DataFrame, name: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Union of members; the earliest sighting keeps the position."""
-    df = _both(store, new, name)
+    df = _both(store, new, name, also)
     owner = STORE_TABLES[name][0]
     return (
-        df.groupBy(owner, "kind", "value").agg(F.min(F.struct("src", "_p", "seq")).alias("o"))
-        .select(owner, "kind", "value", F.col("o.seq").alias("seq"), (F.col("o.src") == 1).alias("inserted"))
+        df.groupBy(owner, "kind", "value", *also).agg(F.min(F.struct("src", "_p", "seq")).alias("o"))
+        .select(owner, "kind", "value", *also, F.col("o.seq").alias("seq"), (F.col("o.src") == 1).alias("inserted"))
     )
 
 
-def merge_props(store: DataFrame, new: DataFrame) -> DataFrame:
+def merge_props(store: DataFrame, new: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Latest value per property; a global vertex keeps the properties of its first row."""
-    df = _both(store, new, "entity_props")
+    df = _both(store, new, "entity_props", also)
     is_global = F.col("type").isin(GLOBAL_TYPES)
     own = df.filter(~is_global)
-    merged = own.groupBy("entity_id", "type", "prop").agg(
+    merged = own.groupBy("entity_id", "type", "prop", *also).agg(
         F.max_by(F.struct("value", "seq"), F.struct("src", "_p", "seq")).alias("p")
-    ).select("entity_id", "type", "prop", "p.value", "p.seq")
+    ).select("entity_id", "type", "prop", *also, "p.value", "p.seq")
     shared = df.filter(is_global)
     owner = shared.groupBy("entity_id").agg(F.min(F.struct("src", "_p")).alias("o"))
     kept = (
         shared.join(owner, "entity_id").filter((F.col("src") == F.col("o.src")) & (F.col("_p") == F.col("o._p")))
-        .select("entity_id", "type", "prop", "value", "seq")
+        .select("entity_id", "type", "prop", *also, "value", "seq")
     )
     return merged.unionByName(kept)
 
@@ -122,7 +122,7 @@ def _scores(props: DataFrame) -> DataFrame:
     )
 
 
-def score_conflicts(store: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+def score_conflicts(store: dict[str, DataFrame], new: dict[str, DataFrame], also: tuple[str, ...] = ()) -> DataFrame:
     """Entities whose score moved by four or more under the same observation key
     within a project both sides share."""
     before = _scores(store["entity_props"])
@@ -139,14 +139,14 @@ def score_conflicts(store: dict[str, DataFrame], new: dict[str, DataFrame]) -> D
         .select("entity_id").distinct()
     )
     df = df.join(common, "entity_id", "left_semi").join(
-        store["entities"].select(F.col("id").alias("entity_id"), "name"), "entity_id"
+        store["entities"].select(F.col("id").alias("entity_id"), "name", *also), "entity_id"
     )
     old, nxt = js_number(F.col("score")), js_number(F.col("next"))
     return df.select(
         conflict_id(F.col("entity_id"), F.lit("score"), old, nxt).alias("id"),
         F.lit("stale_vs_fresh").alias("kind"),
         F.concat(F.lit("Score conflict on "), F.col("name"), F.lit(": "), old, F.lit(" vs "), nxt).alias("description"),
-        "entity_id", F.lit(True).alias("blocks"), F.lit("needs_review").alias("review_status"),
+        "entity_id", F.lit(True).alias("blocks"), F.lit("needs_review").alias("review_status"), *also,
     )
 
 
@@ -155,19 +155,19 @@ def merge_conflicts(store: DataFrame, new: DataFrame) -> DataFrame:
     return store.unionByName(new.join(store.select("id"), "id", "left_anti"))
 
 
-def conflict_entity_links(conflicts: DataFrame, seq: int = 0) -> DataFrame:
+def conflict_entity_links(conflicts: DataFrame, seq: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
     return conflicts.select(
-        "entity_id", F.lit("conflict").alias("kind"), F.col("id").alias("value"), F.lit(seq).cast("bigint").alias("seq")
+        "entity_id", F.lit("conflict").alias("kind"), F.col("id").alias("value"), F.lit(seq).cast("bigint").alias("seq"), *also
     )
 
 
-def conflict_links(conflicts: DataFrame, store_links: DataFrame, new_links: DataFrame) -> DataFrame:
+def conflict_links(conflicts: DataFrame, store_links: DataFrame, new_links: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Projects and evidence of both sides of a conflict."""
     members = store_links.select("entity_id", "kind", "value").unionByName(new_links.select("entity_id", "kind", "value"))
     return (
         members.filter(F.col("kind").isin("project", "evidence"))
-        .join(conflicts.select("entity_id", F.col("id").alias("conflict_id")), "entity_id")
-        .select("conflict_id", "kind", "value").distinct()
+        .join(conflicts.select("entity_id", F.col("id").alias("conflict_id"), *also), "entity_id")
+        .select("conflict_id", "kind", "value", *also).distinct()
     )
 
 
@@ -228,30 +228,31 @@ def drop_contribution(store: dict[str, DataFrame], projects: DataFrame) -> dict[
     return out
 
 
-def merge_store(store: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All merges of one ingest; conflicts are found against the store as it was."""
-    made = Tables({"found": lambda: score_conflicts(store, new)})
+def merge_store(store: dict[str, DataFrame], new: dict[str, DataFrame], also: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All merges of one ingest; conflicts are found against the store as it was. ``also`` names columns that both sides carry
+    along and that depend on the row's owner alone, such as the bucket it lies in."""
+    made = Tables({"found": lambda: score_conflicts(store, new, also)})
 
     def entity_links() -> DataFrame:
-        links = merge_links(store["entity_links"], new["entity_links"], "entity_links").drop("inserted")
-        both = links.unionByName(conflict_entity_links(made["found"]))
-        return both.groupBy("entity_id", "kind", "value").agg(F.min("seq").alias("seq"))
+        links = merge_links(store["entity_links"], new["entity_links"], "entity_links", also).drop("inserted")
+        both = links.unionByName(conflict_entity_links(made["found"], also=also))
+        return both.groupBy("entity_id", "kind", "value", *also).agg(F.min("seq").alias("seq"))
 
     def all_conflict_links() -> DataFrame:
-        members = conflict_links(made["found"], store["entity_links"], new["entity_links"])
+        members = conflict_links(made["found"], store["entity_links"], new["entity_links"], also)
         return store["conflict_links"].unionByName(members).distinct() if "conflict_links" in store else members
 
     def plain(name: str):
-        return lambda: merge_links(store[name], new[name], name)
+        return lambda: merge_links(store[name], new[name], name, also)
 
     return Tables(
         {
-            "entities": lambda: merge_entities(store["entities"], new["entities"]),
-            "entity_props": lambda: merge_props(store["entity_props"], new["entity_props"]),
+            "entities": lambda: merge_entities(store["entities"], new["entities"], also),
+            "entity_props": lambda: merge_props(store["entity_props"], new["entity_props"], also),
             "entity_links": entity_links,
-            "relationships": lambda: merge_relationships(store["relationships"], new["relationships"]),
+            "relationships": lambda: merge_relationships(store["relationships"], new["relationships"], also),
             "relationship_links": plain("relationship_links"),
-            "evidence": lambda: merge_evidence(store["evidence"], new["evidence"]),
+            "evidence": lambda: merge_evidence(store["evidence"], new["evidence"], also),
             "evidence_links": plain("evidence_links"),
             "conflicts": lambda: merge_conflicts(store["conflicts"], made["found"]) if "conflicts" in store else made["found"],
             "conflict_links": all_conflict_links,

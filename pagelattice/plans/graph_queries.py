@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagelattice.functions import keys as K
-from pagelattice.operators import integrity, knowledge, merge, metrics, patterns, slices
+from pagelattice.operators import ingest, integrity, knowledge, merge, metrics, patterns, slices
 from pagelattice.plans.derived import ctes, derived, new_slice, projects, store
 from pagelattice.plans.dialect import Duck, Spark
 from pagelattice.plans.registry import query, table
 from pagelattice import schemas
-from pagelattice.session import written
+from pagelattice.session import shared_folder, written
 from pagelattice.sources import store as io
 
 D = Duck()
@@ -297,6 +299,57 @@ def ingest_counts(spark, folder):
     return result.drop("dry_run")
 
 
+# Every project is ingested as of before the split; then those that do not refuse are ingested as of after it, the synthetic ones by force; then again.
+_INGEST = f"""
+    + act AS (SELECT slug FROM d_projects WHERE notes <> 'Not synthetic'), frc AS ({_GONE}),
+    dead AS (SELECT entity_id FROM store_entity_links_old WHERE kind = 'project' GROUP BY 1 HAVING count(*) = count_if(value IN (SELECT slug FROM frc))),
+    eu AS (SELECT 0 AS src, '' AS p, id, type, name, seq FROM store_entities_old WHERE id NOT IN (SELECT entity_id FROM dead) UNION ALL SELECT 1, project_slug, id, type, name, seq FROM entities_new WHERE project_slug IN (SELECT slug FROM act)),
+    en AS (SELECT id, type, name FROM eu QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, p, seq) = 1),
+    pu AS (SELECT 0 AS src, '' AS p, * FROM store_entity_props_old WHERE entity_id NOT IN (SELECT entity_id FROM dead) UNION ALL SELECT 1, project_slug, entity_id, type, prop, value, seq FROM entity_props_new WHERE project_slug IN (SELECT slug FROM act)),
+    pr AS (SELECT entity_id, prop, value FROM pu QUALIFY row_number() OVER (PARTITION BY entity_id, prop ORDER BY src DESC, p DESC, seq DESC) = 1),
+    ol AS (SELECT * FROM store_entity_links_old WHERE CASE WHEN kind = 'project' THEN value NOT IN (SELECT slug FROM frc) ELSE entity_id NOT IN (SELECT entity_id FROM dead) END),
+    nl AS (SELECT * FROM entity_links_new WHERE project_slug IN (SELECT slug FROM act)),
+    bs AS (SELECT slug, issue_id, score, CASE WHEN score <= 3 THEN 'weak' WHEN score <= 5 THEN 'moderate' END AS k FROM issue_old WHERE slug IN (SELECT slug FROM act) AND slug NOT IN (SELECT slug FROM frc)),
+    cf AS (SELECT slug, issue_id, 'conflict_' || {sha("issue_id || '|score|' || CAST(bs.score AS STRING) || '|' || CAST(a.score AS STRING)")} AS id FROM bs
+      JOIN (SELECT issue_id, score, CASE WHEN score <= 3 THEN 'weak' WHEN score <= 5 THEN 'moderate' END AS k FROM issue_new) a USING (issue_id) WHERE abs(bs.score - a.score) >= 4 AND bs.k IS NOT DISTINCT FROM a.k),
+    li AS (SELECT entity_id, kind, value FROM ol UNION SELECT entity_id, kind, value FROM nl UNION SELECT issue_id, 'conflict', id FROM cf),
+    vu AS (SELECT 0 AS src, id, source_project FROM store_evidence_old WHERE source_project NOT IN (SELECT slug FROM frc) UNION ALL SELECT 1, id, source_project FROM evidence_new WHERE source_project IN (SELECT slug FROM act)),
+    ev AS (SELECT id, source_project, max(src) = 0 AND source_project IN (SELECT slug FROM act) AS stale FROM vu GROUP BY id, source_project),
+    vl AS (SELECT evidence_id, value FROM store_evidence_links_old WHERE evidence_id IN (SELECT id FROM vu WHERE src = 0) UNION SELECT evidence_id, value FROM evidence_links_new WHERE project_slug IN (SELECT slug FROM act)),
+    re AS (SELECT id, type FROM store_relationships_old WHERE id IN (SELECT relationship_id FROM store_relationship_links_old WHERE value NOT IN (SELECT slug FROM frc)) UNION SELECT id, type FROM relationships_new WHERE project_slug IN (SELECT slug FROM act)),
+    rn AS (SELECT slug, CASE WHEN slug IN (SELECT slug FROM frc) THEN 'replaced' ELSE 'ingested' END AS action, (SELECT count(*) FROM entities_new WHERE project_slug = slug) AS e, (SELECT count(*) FROM evidence_new WHERE project_slug = slug) AS v,
+      (SELECT count(*) FROM cf WHERE cf.slug = act.slug) AS c, (SELECT count(*) FROM ev WHERE stale AND source_project = act.slug) AS s FROM act)
+    SELECT 'entity' AS part, id, name AS detail FROM en UNION ALL SELECT 'property', entity_id || ' ' || prop, value FROM pr UNION ALL SELECT 'link', entity_id || ' ' || kind, value FROM li
+    UNION ALL SELECT 'evidence', id, CASE WHEN stale THEN 'stale' ELSE 'unreviewed' END FROM ev UNION ALL SELECT 'evidence link', evidence_id, value FROM vl UNION ALL SELECT 'relationship', id, type FROM re
+    UNION ALL SELECT 'conflict', id, issue_id FROM cf UNION ALL SELECT 'conflict link', cf.id, li.kind || ' ' || li.value FROM cf JOIN (SELECT entity_id, kind, value FROM ol UNION SELECT entity_id, kind, value FROM nl) li ON entity_id = issue_id WHERE li.kind IN ('project', 'evidence')
+    UNION ALL SELECT 'first run', slug, 'ingested' FROM d_projects UNION ALL SELECT 'second run', slug, concat_ws(' ', action, e, v, c, s) FROM rn UNION ALL SELECT 'third run', slug, 'skipped' FROM act"""
+
+
+@query("ingest_store", _sql(["d_projects", "issue_old", "issue_new", *[f"store_{n}_old" for n in ("entities", "entity_props", "entity_links", "relationships", "relationship_links", "evidence", "evidence_links")],
+                             *[f"{n}_new" for n in ("entities", "entity_props", "entity_links", "relationships", "evidence", "evidence_links")]], _INGEST))
+def ingest_store(spark, folder):
+    every = projects(spark, folder).select(F.col("slug").alias("project_slug"), "notes")
+    some, forced = every.filter("notes <> 'Not synthetic'"), every.filter("notes = 'Synthetic fixture'")
+    graph = ingest.StoredGraph(f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", buckets=16)
+    old, new = new_slice(spark, folder, "old"), new_slice(spark, folder)
+    runs = [ingest.ingest(spark, graph, old, every), ingest.ingest(spark, graph, new, some, force=forced), ingest.ingest(spark, graph, new, some)]
+    told = F.concat_ws(" ", "action", "entities_count", "evidence_count", "conflicts_count", "stale_marked")
+    g = ingest.read_graph(spark, graph, new)
+    row = lambda name, part, of, detail: g[name].select(F.lit(part).alias("part"), of.alias("id"), detail.alias("detail"))
+    c = F.col
+    parts = [
+        row("entities", "entity", c("id"), c("name")), row("entity_props", "property", F.concat_ws(" ", "entity_id", "prop"), c("value")),
+        row("entity_links", "link", F.concat_ws(" ", "entity_id", "kind"), c("value")), row("evidence", "evidence", c("id"), c("review_status")),
+        row("evidence_links", "evidence link", c("evidence_id"), c("value")), row("relationships", "relationship", c("id"), c("type")),
+        row("conflicts", "conflict", c("id"), c("entity_id")), row("conflict_links", "conflict link", c("conflict_id"), F.concat_ws(" ", "kind", "value")),
+        *[r.select(F.lit(f"{n} run"), "project_slug", told if n == "second" else c("action")) for n, r in zip(("first", "second", "third"), runs)],
+    ]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.union(p)
+    return df
+
+
 @query("registry_upsert", """SELECT c_custkey AS id, coalesce(o.status, c_mktsegment) AS status, c_name AS name FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS status FROM orders GROUP BY 1) o ON o_custkey = c_custkey
     UNION ALL SELECT o_custkey, max(o_orderstatus), NULL FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""")
 def registry_upsert(spark, folder):
