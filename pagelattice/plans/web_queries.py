@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelattice.functions import reliability as R
 from pagelattice.functions import text as T
 from pagelattice.functions import urls as U
-from pagelattice.operators import frontier, inventory, metrics, pages
+from pagelattice.operators import frontier, inventory, metrics, pages, redirects
 from pagelattice.plans.derived import ctes
 from pagelattice.plans.dialect import Duck, Spark
 from pagelattice.plans.registry import query, table
@@ -548,15 +548,32 @@ def text_salvage(spark, folder):
     return df.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(sal).alias("salvaged"), F.coalesce(F.sum(F.when(sal, F.length("tq.text"))), F.lit(0)).cast("bigint").alias("kept"))
 
 
-@query("confidence_degrade", _QUALITY + """, x AS (SELECT quality, CASE WHEN NOT ok THEN 0.35 WHEN sal THEN 0.12 WHEN len(issues) > 0 THEN 0.1 ELSE 0.0 END AS p FROM w JOIN labels USING (doc_id))
+@query("confidence_degrade", _QUALITY + """, x AS (SELECT quality, CASE WHEN NOT ok THEN 0.35 WHEN sal THEN 0.12 WHEN len(issues) > 0 THEN 0.1 ELSE 0.0 END AS p FROM w LEFT JOIN labels USING (doc_id))
     SELECT b AS base, CASE WHEN p >= 0.3 THEN 'low' WHEN p >= 0.1 THEN CASE WHEN b = 'high' THEN 'medium' ELSE 'low' END ELSE b END AS degraded, count(*) AS n
-    FROM (SELECT CASE quality WHEN 1 THEN 'high' ELSE 'medium' END AS b, p FROM x) GROUP BY 1, 2""")
+    FROM (SELECT CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 1 THEN 'high' ELSE 'medium' END AS b, p FROM x) GROUP BY 1, 2""")
 def confidence_degrade(spark, folder):
-    df = T.normalize_text(_damaged(spark, folder), "t", "tq").join(table(spark, folder, "labels"), "doc_id")
-    base = F.when(F.col("quality") == 1, "high").otherwise("medium")
+    df = T.normalize_text(_damaged(spark, folder), "t", "tq").join(table(spark, folder, "labels"), "doc_id", "left")
+    base = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("quality") == 1, "high").otherwise("medium")
     return df.select(base.alias("base"), T.degrade_confidence(base, F.col("tq.confidence_penalty")).alias("degraded")).groupBy("base", "degraded").agg(F.count("*").alias("n"))
 
 
+def _redirects(t) -> str:
+    """Chains of up to 20 hops over the orders: some end well, some in an error, some at a URL that was never fetched, some in a loop."""
+    u = lambda i: f"'https://shop.net/' || CAST(g AS STRING) || '/' || CAST({i} AS STRING)"
+    return f"""SELECT {u('i')} AS url, CASE WHEN i < n OR (i = n AND g % 7 = 3) OR (i = n AND g % 11 = 5) THEN 301 WHEN g % 5 = 0 THEN 404 ELSE 200 END AS status,
+      CASE WHEN i < n THEN {u('i + 1')} WHEN i = n AND g % 7 = 3 THEN {u('CAST(floor(n / 2) AS BIGINT)')} WHEN i = n AND g % 11 = 5 THEN {u('99')} END AS location
+      FROM (SELECT CAST(floor(o_orderkey / 25) AS BIGINT) AS g, o_orderkey % 25 AS i, CAST(floor(o_orderkey / 25) AS BIGINT) % 21 AS n FROM {t('orders')}) o"""
+
+
+@query("redirect_chains", f"""WITH RECURSIVE f AS ({_redirects(Duck().t)}),
+    w AS (SELECT url, url AS here, 0 AS hops, '' AS via FROM f UNION ALL SELECT w.url, f.location, hops + 1, via || ' ' || f.location FROM w JOIN f ON f.url = w.here WHERE f.location IS NOT NULL AND hops < 30),
+    e AS (SELECT w.url, here, hops, via, f.url IS NOT NULL AS fetched, status FROM w LEFT JOIN f ON f.url = here WHERE f.location IS NULL)
+    SELECT f.url, here AS final_url, e.status AS final_status, CAST(hops AS INTEGER) AS hops, trim(via) AS chain, CASE WHEN here IS NULL THEN 'loop' WHEN NOT fetched THEN 'broken' WHEN e.status BETWEEN 200 AND 299 THEN 'ok' ELSE 'error' END AS outcome
+    FROM f LEFT JOIN e USING (url)""")
+def redirect_chains(spark, folder):
+    return redirects.redirect_chains(spark.sql(_redirects(Spark(folder).t))).withColumn("chain", F.array_join("chain", " "))
+
+
 _NEEDS = "(t0 = '' OR NOT ok OR sal OR cr < 0.9)"
 
 
