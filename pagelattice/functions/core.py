@@ -1,7 +1,7 @@
 """Small shared column helpers.
 
-The values this library has to reproduce come from a JavaScript program, so the
-helpers pin down its notions of white space, string length and rounding.
+Stored values follow ECMAScript's notions of white space, string length and rounding,
+and the helpers pin those down.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from pagelattice.functions.core import clip, txt
 from pagelattice.functions.keys import candidate_pattern_id, digest, key_of, normalize_key, stable_hash
 from pagelattice.operators.patterns import companies_by_project, latest_decisions
 
-# The registry the original starts from, as (name, type, aliases).
+# The concepts a registry starts from, as (name, type, aliases).
 SEED_CONCEPTS = [
     ("Document Center", "resource", ["Engineering Resources", "Technical Documents", "Downloads", "Literature", "Resources", "Technical Library", "Document Library"]),
     ("Engineering Calculator", "tool", ["Wall Selector", "Stud Selector", "Limiting Height Calculator", "Limiting Height Tool", "Span Calculator", "Load Calculator", "Engineering Tools"]),

@@ -527,6 +527,18 @@ def integrity_issues(spark, folder):
     return _issues(spark, folder).select("issue_id", "severity", "category")
 
 
+# Evidence of projects whose number begins with 1 counts as stale, so that both summaries have members.
+@query("issue_members", _sql(_STORE, """
+    + k AS (SELECT id, type, """ + key("name") + """ AS k FROM store_entities_all), d AS (SELECT type, k FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT 'near-dup-' || """ + key("type || ':' || k") + """ AS issue_id, 'entity' AS kind, id AS member_id FROM k JOIN d USING (type, k)
+    UNION ALL SELECT 'low-confidence-summary', 'evidence', id FROM store_evidence_all WHERE confidence = 'low'
+    UNION ALL SELECT 'stale-evidence-summary', 'evidence', id FROM store_evidence_all WHERE source_project LIKE 's-1%'"""))
+def issue_members(spark, folder):
+    s = store(spark, folder)
+    s["evidence"] = s["evidence"].withColumn("stale", F.col("source_project").startswith("s-1"))
+    return integrity.issue_members(s, ascii_only=True)
+
+
 @query("integrity_gate", _sql(_STORE, _ISSUES + " SELECT count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, false AS passed FROM iss"))
 def integrity_gate(spark, folder):
     return integrity.strict_gate(_issues(spark, folder))
