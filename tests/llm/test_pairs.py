@@ -141,15 +141,15 @@ def line_texts():
         edited = own[int(rng.integers(0, 4))].split(" ")
         edited[int(rng.integers(0, len(edited)))] = f"edit{k}"
         texts.append("\n".join([*own, " ".join(edited), "Short", "", "  " + base[0].upper() + " "]))
-    return [*enumerate(texts), (90, None), (91, ""), (92, "short\nShort"), (93, base[3]), (94, base[3] + "\n" + base[4]), (95, "x" * 5000)]
+    return [*enumerate(texts), (90, None), (91, ""), (92, "short\nShort"), (93, base[3]), (96, "tiny\r\nother\r\n \r"), (97, "tiny\nxyz"), (98, "-" * 300 + "\n" + "- " * 200), (99, "-" * 310 + "\n" + "- " * 205), (100, "=-" * 400), (94, base[3] + "\n" + base[4]), (95, "x" * 5000)]
 
 
 def expected_lines(texts, s):
     found = []
     for i, t in sorted(texts):
         for n, line in enumerate((t or "").split("\n")):
-            b = line.strip(" ").lower().encode()
-            if len(b) >= s.least:
+            b = line.strip(" \t\r\x0b\x0c").lower().encode()
+            if b:
                 found.append(((i, n), {b[j : j + s.shingle] for j in range(max(1, len(b) - s.shingle + 1))}))
     links = [(a[0], b[0]) for a, b in combinations(found, 2) if 100 * len(a[1] & b[1]) >= s.percent * len(a[1] | b[1])]
     return roots([k for k, _ in found], links)
@@ -193,10 +193,19 @@ def test_deduplicated_texts(spark):
     out = lines.deduplicated(df)
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == want
-    assert 93 not in want and 91 in want and 90 in want
+    assert 93 not in want and 91 in want and 90 in want and want[97] == "xyz" and 99 not in want
+    assert {(98, 0), (98, 1)} <= {k for k, v in first.items() if v}
     assert lines.deduplicated(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    texts = [(1, "only here, at the top of it\nsomething else that is said"), (1, "a second text of the id\nonly once, below"), (2, "a second text of the id\nhere alone it stands"), (None, "a second text of the id")]
+    out = sorted((r.doc_id or 0, r.text) for r in lines.deduplicated(frame(spark, texts)).collect())
+    assert out == [(0, texts[3][1]), (1, texts[1][1]), (1, texts[0][1]), (2, "here alone it stands")]
+    again = lines.deduplicated(frame(spark, texts[:1] * 2)).collect()
+    assert [r.text for r in again] == [texts[0][1]] * 2
+
+
 def item_texts():
     rng = np.random.default_rng(12)
     items = [" ".join(words(rng, int(rng.integers(8, 60)), 3000)) for _ in range(12)]
