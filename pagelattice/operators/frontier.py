@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import urls as U
 from pagelattice.functions.core import strings
+from pagelattice.operators.ranking import first_rows
 from pagelattice.session import reliable_checkpoint
 
 
@@ -85,11 +86,8 @@ def next_frontier(
     )
     if not capped:
         return fresh.select("project_slug", "url", "seq")
-    w = Window.partitionBy("project_slug").orderBy("seq", "url")
     used = seen.select("project_slug", "url").distinct().groupBy("project_slug").agg(F.count("*").alias("used"))
-    ranked = fresh.withColumn("rn", F.row_number().over(w))
-    if most is not None:
-        ranked = ranked.filter(F.col("rn") <= most)
+    ranked = first_rows(fresh, ["project_slug"], ["seq", "url"], most)
     budget = F.col("max_crawl_pages") - F.coalesce(F.col("used"), F.lit(0))
     within = F.col("max_crawl_pages").isNull() | (F.col("rn") <= budget)
     return ranked.join(used, "project_slug", "left").filter(within).select("project_slug", "url", "seq")
@@ -160,11 +158,9 @@ def fetch_outcomes(fetch_log: DataFrame) -> DataFrame:
 
 def failure_samples(fetch_log: DataFrame, n: int | None = None) -> DataFrame:
     """The failures per project in order: all, or the first ``n``."""
-    w = Window.partitionBy("project_slug").orderBy("seq", "url")
-    df = fetch_log.filter(~F.col("ok")).withColumn("rn", F.row_number().over(w))
-    df = df if n is None else df.filter(F.col("rn") <= n)
+    df = first_rows(fetch_log.filter(~F.col("ok")).select("project_slug", "seq", "url", "error"), ["project_slug"], ["seq", "url"], n)
     kind = U.classify_fetch_error("error")["kind"]
-    return df.select("project_slug", "rn", "url", F.coalesce("error", F.lit("unknown")).alias("error"), kind.alias("kind"))
+    return df.select("project_slug", F.col("rn").cast("int").alias("rn"), "url", F.coalesce("error", F.lit("unknown")).alias("error"), kind.alias("kind"))
 
 
 def crawl_health(verdicts: DataFrame, fetch_log: DataFrame, records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelattice.functions import urls as U
 from pagelattice.functions.core import compact, js_round, txt, word
 from pagelattice.functions.text import normalize_text
+from pagelattice.operators.ranking import first_rows
 
 # Facts read off the home page as (section, pattern, claim, confidence, kind, notes);
 # no pattern means the fact is always stated.
@@ -97,10 +98,9 @@ def rule_facts(home: DataFrame, rules: list = FACT_RULES) -> DataFrame:
 def contact_facts(records: DataFrame, home: DataFrame, limit: int | None = None) -> DataFrame:
     """Phone and e-mail facts of each project: all, or the first ``limit`` of each."""
     def facts(column: str, label: str, base: int) -> DataFrame:
-        v = project_values(records, column, limit)
+        v = first_rows(project_values(records, column), ["project_slug"], ["seq", "pos"], limit)
         return v.select(
-            "project_slug", F.lit("contacts").alias("section"),
-            (F.lit(base) + F.row_number().over(Window.partitionBy("project_slug").orderBy("seq", "pos"))).alias("pos"),
+            "project_slug", F.lit("contacts").alias("section"), (F.lit(base) + F.col("rn")).cast("int").alias("pos"),
             F.concat(F.lit(label + " observed on public pages: "), F.col("value")).alias("claim"),
         )
 

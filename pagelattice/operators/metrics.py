@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions import reliability as R
 from pagelattice.functions import urls as U
 from pagelattice.functions.core import clip, txt
 from pagelattice.functions.text import needs_text_repair, normalize_text
+from pagelattice.operators.ranking import first_rows
 
 
 def score_sources(df: DataFrame, url: str = "url", title: str | None = "title", file_type: str | None = None, hints: str | None = None) -> DataFrame:
@@ -132,10 +133,8 @@ def overall_confidence(crawl: Column, knowledge: Column, summary_ok: Column, rel
 
 def lowest_confidence(evidence: DataFrame, n: int | None = None) -> DataFrame:
     """The low-confidence findings per project in order: all, or the first ``n``."""
-    w = Window.partitionBy("source_project").orderBy("seq", "id")
-    df = evidence.filter("confidence = 'low'").withColumn("rn", F.row_number().over(w))
-    df = df if n is None else df.filter(F.col("rn") <= n)
-    return df.select(F.col("source_project").alias("project"), "rn", "id", "reliability_score", txt("excerpt").alias("excerpt"))
+    df = first_rows(evidence.filter("confidence = 'low'").select("source_project", "seq", "id", "reliability_score", "excerpt"), ["source_project"], ["seq", "id"], n)
+    return df.select(F.col("source_project").alias("project"), F.col("rn").cast("int").alias("rn"), "id", "reliability_score", txt("excerpt").alias("excerpt"))
 
 
 def knowledge_metrics(store: dict, ascii_only: bool = False) -> DataFrame:

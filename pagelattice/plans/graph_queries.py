@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagelattice.functions import keys as K
-from pagelattice.operators import ingest, integrity, knowledge, merge, metrics, patterns, slices
+from pagelattice.operators import history, ingest, integrity, knowledge, merge, metrics, patterns, slices
 from pagelattice.plans.derived import ctes, derived, new_slice, projects, store
 from pagelattice.plans.dialect import Duck, Spark
 from pagelattice.plans.registry import query, table
 from pagelattice import schemas
-from pagelattice.session import shared_folder, written
+from pagelattice.session import reliable_checkpoint, shared_folder, written
 from pagelattice.sources import store as io
 
 D = Duck()
@@ -416,6 +416,66 @@ def pattern_decisions(spark, folder):
     return patterns.apply_pattern_decisions(pt, _decisions(spark, folder, pt, "pattern_id", {"purchase": "promote", "error": "reject"})).select("id", "outcome", "review_status")
 
 
+# Event types by which a pattern is found in each of three runs, one after another: so some are kept, some dropped, some return.
+_RUNS = [("2024-01-01", ("view", "click", "signup", "error")), ("2024-02-01", ("view", "click", "purchase")), ("2024-03-01", ("signup", "purchase", "error"))]
+_RUN_SQL = _PATTERN + ", dr AS (" + drawn_sql("pt") + "), ru AS (" + " UNION ".join(
+    f"SELECT id, {n} AS r, '{at}' AS day FROM dr WHERE event_type IN ({', '.join(repr(k) for k in kinds)})" for n, (at, kinds) in enumerate(_RUNS, 1)) + ")"
+
+
+def _runs(spark, folder):
+    """Time and merged history of each run."""
+    pt = _patterns(spark, folder)
+    kept = pt.drop("is_new")
+    past, out = history.empty_history(kept), []
+    for at, kinds in _RUNS:
+        found = _decisions(spark, folder, pt, "pattern_id", {k: k for k in kinds}).select(F.col("pattern_id").alias("id")).distinct()
+        past = reliable_checkpoint(history.merge_run(past, kept.join(found, "id", "left_semi"), at))
+        out.append((at, past))
+    return out
+
+
+@query("pattern_history", _sql(_PATTERN_NEEDS, _RUN_SQL + """, i AS (SELECT *, r - row_number() OVER (PARTITION BY id ORDER BY r) AS g, min(day) OVER (PARTITION BY id) AS created_at FROM ru),
+    s AS (SELECT id, created_at, min(day) AS opened_at, max(day) AS updated_at, max(r) AS r FROM i GROUP BY id, g, created_at)
+    SELECT id, observation_key, blocked, created_at, opened_at, updated_at, CASE r WHEN 1 THEN '2024-02-01' WHEN 2 THEN '2024-03-01' END AS closed_at,
+      CASE WHEN r < 2 THEN 'past' WHEN r = 2 THEN 'dropped' WHEN opened_at < '2024-03-01' THEN 'kept' WHEN created_at < '2024-03-01' THEN 'returned' ELSE 'created' END AS action
+    FROM s JOIN pt USING (id)"""))
+def pattern_history(spark, folder):
+    return _runs(spark, folder)[-1][1].select("id", "observation_key", "blocked", *history.TIMES, "action")
+
+
+_DECIDED = """, de AS (SELECT DISTINCT ON (id) id, CASE event_type WHEN 'purchase' THEN 'promote' ELSE 'reject' END AS decision, 'user-' || CAST(user_id AS STRING) AS reviewer
+      FROM dr JOIN (SELECT event_id, user_id FROM events) USING (event_id) WHERE event_type IN ('purchase', 'error') ORDER BY id, ts DESC, event_id DESC),
+    ou AS (SELECT ru.id, de.reviewer, CASE decision WHEN 'promote' THEN 'promoted' ELSE 'rejected' END AS outcome FROM ru JOIN pt USING (id) JOIN de ON de.id = ru.id WHERE r = 3 AND (decision = 'reject' OR NOT blocked))"""
+
+
+def _decided(spark, folder, merged):
+    found = history.found_in_run(merged)
+    return patterns.apply_pattern_decisions(found, _decisions(spark, folder, found, "pattern_id", {"purchase": "promote", "error": "reject"}))
+
+
+@query("pattern_audit", _sql(_PATTERN_NEEDS, _RUN_SQL + _DECIDED + """
+    SELECT day AS "at", CASE WHEN blocked THEN 'candidate_blocked' ELSE 'candidate_created' END AS action, 'system' AS actor, id AS pattern_id,
+      CASE WHEN blocked THEN 'Conflicting evidence blocks automatic candidate pattern creation' ELSE 'Same normalized observation in ' || CAST(projects AS STRING) || ' projects / ' || CAST(companies AS STRING) || ' companies' END AS reason
+    FROM ru JOIN pt USING (id) WHERE blocked OR day = (SELECT min(day) FROM ru f WHERE f.id = pt.id)
+    UNION ALL SELECT '2024-03-01', outcome, reviewer, id, '' FROM ou"""))
+def pattern_audit(spark, folder):
+    runs = _runs(spark, folder)
+    none = _decided(spark, folder, runs[0][1]).limit(0)
+    logs = [patterns.audit_log(none, history.found_in_run(m), at) for at, m in runs[:-1]]
+    at, last = runs[-1]
+    df = patterns.audit_log(_decided(spark, folder, last), history.found_in_run(last), at)
+    for log in logs:
+        df = df.unionByName(log)
+    return df
+
+
+@query("approved_patterns", _sql(_PATTERN_NEEDS, _RUN_SQL + _DECIDED + f""", nm AS (SELECT k AS observation_key, arg_min(name, (seq, entity_id)) AS name FROM obs GROUP BY k)
+    SELECT 'ent_DesignPattern_' || {sha("'DesignPattern|' || " + key('observation_key') + " || '|global'")} AS id, 'DesignPattern' AS type, 'Approved pattern: ' || name AS name, observation_key AS normalized_key,
+      'reusable_pattern' AS epistemic_class, 'industry_approved' AS visibility, 'approved' AS review_status, CAST(0 AS BIGINT) AS seq FROM ou JOIN pt USING (id) JOIN nm USING (observation_key) WHERE outcome = 'promoted'"""))
+def approved_patterns(spark, folder):
+    return patterns.approved_entities(_decided(spark, folder, _runs(spark, folder)[-1][1]))
+
+
 def _decisions(spark, folder, items, key_name, kinds, id_col="id"):
     """Decisions made of events: every item draws two events by its hash, and an event
     of one of the given kinds is a decision on it."""
