@@ -70,6 +70,11 @@ def _seqs(elements: Column, rule) -> Column:
     return F.transform(_pick(elements, rule), lambda e: e["seq"])
 
 
+def _within(elements: Column, x: Column) -> Column:
+    """Descendants of an element: the range up to its last one, elements lie in document order."""
+    return F.slice(elements, x["seq"] + 2, x["last"] - x["seq"])
+
+
 def _texts(elements: Column, *tags: str) -> Column:
     return first_seen(F.transform(_pick(elements, lambda e: e["tag"].isin(*tags)), _clean_text))
 
@@ -218,16 +223,10 @@ def _summary_stages() -> list[dict[str, Column] | None]:
 
 
 def _forms(e: Column) -> Column:
-    labels = _pick(e, lambda x: x["tag"] == "label")
+    text_at = lambda seq: _blank_to_null(F.get(e, seq)["text"])
 
     def field(f: Column) -> Column:
-        named = F.filter(labels, lambda lab: txt(_attr(lab, "for")) == _attr(f, "id"))
-        around = F.filter(labels, lambda lab: F.array_contains(f["up"], lab["seq"]))
-        text_of = lambda rows: _blank_to_null(F.get(F.transform(rows, lambda r: r["text"]), F.lit(0)))
-        closest = _blank_to_null(F.element_at(F.concat(F.array(F.lit("")), F.transform(around, lambda r: r["text"])), -1))
-        label = F.coalesce(
-            F.when(txt(_attr(f, "id")) != "", text_of(named)), closest, _attr(f, "aria-label")
-        )
+        label = F.coalesce(text_at(f["named"]), text_at(f["label"]), _attr(f, "aria-label"))
         return F.struct(
             _attr(f, "name").alias("name"),
             F.coalesce(_blank_to_null(_attr(f, "type")), f["tag"]).alias("type"),
@@ -237,46 +236,31 @@ def _forms(e: Column) -> Column:
         )
 
     def form(x: Column) -> Column:
-        inside = _pick(e, lambda f: f["tag"].isin("input", "select", "textarea") & F.array_contains(f["up"], x["seq"]))
         return F.struct(
             _attr(x, "action").alias("action"),
             F.coalesce(_blank_to_null(_attr(x, "method")), F.lit("get")).alias("method"),
             _attr(x, "id").alias("id"), _attr(x, "name").alias("name"),
-            F.transform(inside, field).alias("fields"),
+            F.transform(_pick(_within(e, x), lambda f: f["tag"].isin("input", "select", "textarea")), field).alias("fields"),
         )
 
     return F.transform(_pick(e, lambda x: x["tag"] == "form"), form)
 
 
 def _tables(e: Column) -> Column:
+    cells_of = lambda x: _pick(_within(e, x), lambda c: c["tag"].isin("th", "td"))
+
     def table(t: Column) -> Column:
-        inside = lambda x: F.array_contains(x["up"], t["seq"])
-        rows = _pick(e, lambda x: (x["tag"] == "tr") & inside(x))
-        cells = _pick(e, lambda x: x["tag"].isin("th", "td") & inside(x))
-        first_rows = F.transform(F.filter(rows, lambda r: r["nth"] == 1), lambda r: r["seq"])
-        heads = _seqs(e, lambda x: (x["tag"] == "thead") & inside(x))
-        headers = let(
-            F.struct(first_rows.alias("r"), heads.alias("h")),
-            lambda k: F.transform(
-                F.filter(
-                    cells,
-                    lambda c: F.arrays_overlap(c["up"], k["r"]) | ((c["tag"] == "th") & F.arrays_overlap(c["up"], k["h"])),
-                ),
-                _clean_text,
-            ),
-        )
-        row_texts = F.transform(
-            rows,
-            lambda r: F.transform(F.filter(cells, lambda c: F.array_contains(c["up"], r["seq"])), _clean_text),
-        )
-        captions = F.transform(_pick(e, lambda x: (x["tag"] == "caption") & inside(x)), lambda c: c["text"])
+        rows = _pick(_within(e, t), lambda x: x["tag"] == "tr")
+        # A cell's head is the innermost first row or head part around it; it counts if it lies in this table.
+        headers = F.transform(F.filter(cells_of(t), lambda c: c["head"] > t["seq"]), _clean_text)
+        captions = F.transform(_pick(_within(e, t), lambda x: x["tag"] == "caption"), lambda c: c["text"])
         return let(
-            headers,
-            lambda h: F.struct(
+            F.struct(headers.alias("h"), F.transform(rows, lambda r: F.transform(cells_of(r), _clean_text)).alias("r")),
+            lambda k: F.struct(
                 _blank_to_null(js_trim(F.array_join(captions, ""))).alias("caption"),
-                h.alias("headers"),
-                F.greatest(F.lit(0), F.size(rows) - F.when(F.size(h) > 0, 1).otherwise(0)).alias("row_count"),
-                F.slice(row_texts, 2, F.greatest(F.size(row_texts), F.lit(1))).alias("sample_rows"),
+                k["h"].alias("headers"),
+                F.greatest(F.lit(0), F.size(k["r"]) - F.when(F.size(k["h"]) > 0, 1).otherwise(0)).alias("row_count"),
+                F.slice(k["r"], 2, F.greatest(F.size(k["r"]), F.lit(1))).alias("sample_rows"),
             ),
         )
 

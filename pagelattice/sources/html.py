@@ -2,7 +2,9 @@
 
 The Python side only tokenizes a page into the elements the extraction rules look
 at. Which links, forms, tables or texts a page has is decided by native expressions
-over that array (see ``operators.pages``).
+over that array (see ``operators.pages``). Elements are numbered in document order, and
+each knows the number of its last descendant, of the labels that name it and of the head
+row or part it lies in, so forms and tables are read off as ranges instead of searched for.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 
 ELEMENTS_DDL = (
     "elements ARRAY<STRUCT<seq: INT, tag: STRING, nth: INT, attrs: MAP<STRING, STRING>, "
-    "text: STRING, up: ARRAY<INT>>>, body_text STRING, main_text STRING"
+    "text: STRING, up: ARRAY<INT>, last: INT, label: INT, named: INT, head: INT>>, body_text STRING, main_text STRING"
 )
 _ARROW_ELEMENTS = pa.list_(
     pa.struct(
@@ -27,6 +29,10 @@ _ARROW_ELEMENTS = pa.list_(
             ("attrs", pa.map_(pa.string(), pa.string())),
             ("text", pa.string()),
             ("up", pa.list_(pa.int32())),
+            ("last", pa.int32()),
+            ("label", pa.int32()),
+            ("named", pa.int32()),
+            ("head", pa.int32()),
         ]
     )
 )
@@ -36,6 +42,11 @@ _KEPT = set(
     "img link meta title h1 h2 h3 iframe".split()
 )
 _KEPT_CLASSES = {"menu", "btn", "button", "cta"}
+# Elements whose text is read; containers keep none unless they act as a button.
+_LEAVES = set("a button label th td caption title h1 h2 h3 script".split())
+_FIELDS = {"input", "select", "textarea"}
+# A batch of element arrays is handed over once its pages reach this many characters.
+_BATCH_CHARS = 4_000_000
 _SILENT = {"script", "style", "noscript", "svg"}
 _ODD_TAG = re.compile(r"^[A-Za-z][A-Za-z0-9:-]{0,32}$")
 # start tag -> (open tags it closes, tag that ends the search)
@@ -53,11 +64,11 @@ _IMPLIED_END = {
 
 
 class _Open:
-    __slots__ = ("tag", "item", "start", "clean_start", "children", "root", "silent")
+    __slots__ = ("tag", "item", "start", "clean_start", "children", "root", "silent", "read")
 
-    def __init__(self, tag, item, start, clean_start, root, silent):
+    def __init__(self, tag, item, start, clean_start, root, silent, read):
         self.tag, self.item, self.start, self.clean_start = tag, item, start, clean_start
-        self.children, self.root, self.silent = 0, root, silent
+        self.children, self.root, self.silent, self.read = 0, root, silent, read
 
 
 class PageTokens(HTMLParser):
@@ -69,6 +80,9 @@ class PageTokens(HTMLParser):
         self.parts, self.clean = [], []
         self.roots = {}
         self.silent = 0
+        # Numbers of the open labels, first rows and table heads; first label for each id.
+        self.labels, self.firsts, self.heads = [], [], []
+        self.label_for = {}
 
     def handle_starttag(self, tag, attrs):
         ends, stop = _IMPLIED_END.get(tag, ((), ()))
@@ -96,10 +110,15 @@ class PageTokens(HTMLParser):
             or (tag == "script" and named.get("type") == "application/ld+json")
         ):
             up = [o.item["seq"] for o in reversed(self.stack) if o.item]
-            item = {"seq": len(self.items), "tag": tag, "nth": nth, "attrs": list(named.items()), "text": "", "up": up}
+            seq = len(self.items)
+            item = {"seq": seq, "tag": tag, "nth": nth, "attrs": list(named.items()), "text": "", "up": up, "last": seq}
+            self._number(item, tag, named)
             self.items.append(item)
         if tag in _VOID:
             return
+        numbers = self._open_numbers(tag, nth)
+        if numbers is not None:
+            numbers.append(item["seq"])
         silent = tag in _SILENT or not _ODD_TAG.match(tag)
         self.silent += silent
         root = None
@@ -113,7 +132,24 @@ class PageTokens(HTMLParser):
             root = None
         if root:
             self.roots[root] = None
-        self.stack.append(_Open(tag, item, len(self.parts), len(self.clean), root, silent))
+        read = tag in _LEAVES or bool(classes & {"btn", "button"}) or named.get("role") == "button"
+        self.stack.append(_Open(tag, item, len(self.parts), len(self.clean), root, silent, read))
+
+    def _open_numbers(self, tag, nth):
+        if tag == "label":
+            return self.labels
+        if tag == "thead":
+            return self.heads
+        return self.firsts if tag == "tr" and nth == 1 else None
+
+    def _number(self, item, tag, named):
+        if tag in _FIELDS and self.labels:
+            item["label"] = self.labels[-1]
+        elif tag == "label":
+            self.label_for.setdefault(named.get("for", ""), item["seq"])
+        elif tag in ("td", "th"):
+            heads = self.firsts[-1:] + (self.heads[-1:] if tag == "th" else [])
+            item["head"] = max(heads, default=None)
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -131,13 +167,21 @@ class PageTokens(HTMLParser):
             o = self.stack.pop()
             self.silent -= o.silent
             if o.item is not None:
-                o.item["text"] = "".join(self.parts[o.start :])
+                o.item["last"] = len(self.items) - 1
+                if o.read:
+                    o.item["text"] = "".join(self.parts[o.start :])
+                numbers = self._open_numbers(o.tag, o.item["nth"])
+                if numbers is not None:
+                    numbers.pop()
             if o.root:
                 self.roots[o.root] = ("".join(self.parts[o.start :]), "".join(self.clean[o.clean_start :]))
 
     def finish(self):
         self.close()
         self._close_to(0)
+        for item in self.items:
+            if item["tag"] in _FIELDS:
+                item["named"] = self.label_for.get(dict(item["attrs"]).get("id") or None)
         body = self.roots.get("body") or ("".join(self.parts), "".join(self.clean))
         for root in ("main", "#content", ".entry-content", "article"):
             if self.roots.get(root):
@@ -148,20 +192,24 @@ class PageTokens(HTMLParser):
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("html")
-        elements, bodies, mains = [], [], []
-        for html in batch.column(at).to_pylist():
-            tokens = PageTokens()
-            tokens.feed(html or "")
-            items, body, main = tokens.finish()
-            elements.append(items)
-            bodies.append(body)
-            mains.append(main)
         keep = [i for i in range(batch.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in keep]
-            + [pa.array(elements, _ARROW_ELEMENTS), pa.array(bodies, pa.string()), pa.array(mains, pa.string())],
-            names=[batch.schema.names[i] for i in keep] + ["elements", "body_text", "main_text"],
-        )
+        names = [batch.schema.names[i] for i in keep] + ["elements", "body_text", "main_text"]
+        start, chars, found = 0, 0, []
+        for row, html in enumerate(batch.column(at)):
+            text = html.as_py() or ""
+            tokens = PageTokens()
+            tokens.feed(text)
+            found.append(tokens.finish())
+            chars += len(text)
+            if chars >= _BATCH_CHARS or row == batch.num_rows - 1:
+                elements, bodies, mains = zip(*found)
+                part = batch.slice(start, len(found))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i) for i in keep]
+                    + [pa.array(elements, _ARROW_ELEMENTS), pa.array(bodies, pa.string()), pa.array(mains, pa.string())],
+                    names=names,
+                )
+                start, chars, found = row + 1, 0, []
 
 
 def tokenize_html(df: DataFrame) -> DataFrame:
