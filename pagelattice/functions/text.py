@@ -150,8 +150,9 @@ def salvage_text(df: DataFrame, text: str, out: str = "salvaged") -> DataFrame:
 
 @built_once
 def _salvage_stages(text: str, out: str, when: str | None) -> list[dict[str, Column]]:
-    """Token flags are kept as a string of 0 and 1, so the first window of five tokens
-    with at least four good ones is one regular expression match."""
+    """Tokens carry whether they read as English. Their flags also make a string of 0 and 1, so
+    the first window of five tokens with at least four good ones is one regular expression
+    match; the string is not indexed by position, which would read it from its start each time."""
     p = f"_{out}_"
     c = lambda name: F.col(p + name)
     t = F.col(text)
@@ -163,21 +164,15 @@ def _salvage_stages(text: str, out: str, when: str | None) -> list[dict[str, Col
     if when is not None:
         need = F.col(when) & need
     tokens = F.filter(F.split(t, f"[{JS_SPACE}]+"), lambda x: x != "")
-    flags = F.array_join(F.transform(c("tok"), lambda x: F.when(is_english_like(x), "1").otherwise("0")), "")
+    judged = F.transform(tokens, lambda x: F.struct(x.alias("word"), is_english_like(x).alias("good")))
+    flags = F.array_join(F.transform(c("tok"), lambda x: F.when(x["good"], "1").otherwise("0")), "")
     window = "[01]1111|1[01]111|11[01]11|111[01]1|1111[01]"
     onset = F.when(F.size(c("tok")) >= 6, F.regexp_instr(c("flags"), F.lit(window)))
     start = c("on") + F.instr(F.substring(c("flags"), c("on"), F.length(c("flags"))), "1") - 1
-    kept = F.transform(
-        c("tok"),
-        lambda x, i: F.when(
-            (i + 1 >= c("start"))
-            & (
-                (u16len(x) <= 2)
-                | (F.substring(c("flags"), i + 1, F.lit(1)) == "1")
-                | (common_text_ratio(x) >= 0.85)
-            ),
-            x,
-        ),
+    # The start is used outside the lambda: inside, the optimizer would work it out for every token.
+    kept = F.filter(
+        F.slice(c("tok"), c("start"), F.size(c("tok"))),
+        lambda x: x["good"] | (u16len(x["word"]) <= 2) | (common_text_ratio(x["word"]) >= 0.85),
     )
     anchored = F.lit(None).cast("string")
     for pattern in reversed(ANCHORS):
@@ -192,11 +187,11 @@ def _salvage_stages(text: str, out: str, when: str | None) -> list[dict[str, Col
     )
     best = c("best")
     return [
-        {p + "tok": F.when(need, tokens)},
+        {p + "tok": F.when(need, judged)},
         {p + "flags": flags},
         {p + "on": onset},
         {p + "start": F.when(c("on") > 0, start)},
-        {p + "cut": F.when(c("on") > 0, F.array_join(F.array_compact(kept), " "))},
+        {p + "cut": F.when(c("on") > 0, F.array_join(F.transform(kept, lambda x: x["word"]), " "))},
         {p + "best": F.coalesce(F.when(good, cut), F.when(c("on") == 0, anchored))},
         {out: F.struct(F.coalesce(best, t).alias("text"), best.isNotNull().alias("salvaged"))},
     ]
