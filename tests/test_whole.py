@@ -97,3 +97,16 @@ def test_latest_record_of_equal_times_is_settled(spark):
     df = spark.createDataFrame(rows, "id string, v bigint, seq bigint")
     one = {r.id: r.v for r in schemas.latest_by_id(df.repartition(7)).collect()}
     assert one == {r.id: r.v for r in schemas.latest_by_id(df.coalesce(1)).collect()} and one["b"] == 2
+
+
+def test_evidence_records_make_no_ids_of_entities(spark):
+    """The records of a slice need no ids of entities; they were made for every row and dropped again."""
+    from pagelattice.operators import slices
+
+    profiles = spark.createDataFrame([("s", "Co", "https://a.example/", "Steel", "sum", ["a.example"])], "project_slug string, company_name string, website_url string, industry string, summary string, approved_hosts array<string>")
+    families = spark.createDataFrame([("s", "studs", 1)], "project_slug string, family string, seq bigint")
+    s = slices.extract_slice({"profiles": profiles, "families": families}, ascii_only=True)
+    plan = s["evidence"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "ent_ProductFamily_" not in plan and "ent_Industry_" not in plan and "entity_ids" not in plan
+    members = s["evidence_links"].join(s["evidence"].select("project_slug", "id"), [F.col("evidence_id") == F.col("id")])
+    assert {r.value.split("_")[1] for r in members.collect()} == {"Company", "Industry", "Website", "ProductFamily", "NavigationPattern"}
