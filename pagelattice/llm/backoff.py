@@ -62,25 +62,33 @@ def _requests(all_grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[_TOTAL, found], np.r_[len(all_grams[0]), counts]
 
 
+def places(all_grams: list[np.ndarray]) -> list[np.ndarray]:
+    """Where each position's n-gram is among those that `_requests` gives (0 for none), by sorting them once instead of a search for each."""
+    given = [g != 0 for g in all_grams]
+    _, at = np.unique(np.concatenate([g[x] for g, x in zip(all_grams, given)]), return_inverse=True)
+    out = [np.zeros(len(g), np.int64) for g in all_grams]
+    for place, x, own in zip(out, given, np.split(at + 1, np.cumsum([x.sum() for x in given])[:-1])):
+        place[x] = own
+    return out
+
+
 def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """How often each position's n-gram occurs in its own document."""
     _, at, n = np.unique(doc.astype(np.int64) << 40 | place, return_inverse=True, return_counts=True)
     return n[at]
 
 
-def block_scores(texts: list[bytes], known: np.ndarray, totals: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, score in millionths of a nat, positions by the order that answered) of each text. ``known``: sorted n-grams of the block."""
+def block_scores(texts: list[bytes], totals: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, score in millionths of a nat, positions by the order that answered) of each text. ``totals``: of the n-grams that `_requests` gives."""
     all_grams, doc = grams(texts, s.order)
     n_words = np.bincount(doc, minlength=len(texts))
     words = totals[0] - n_words[doc]
     numerators, denominators = [], []
-    for n, g in enumerate(all_grams, 1):
-        at = np.searchsorted(known, g)
-        own = _own_counts(doc, at)
-        c = np.where(g != 0, totals[np.minimum(at, len(known) - 1)] - own, 0)
+    for at in places(all_grams):
+        c = np.where(at != 0, totals[at] - _own_counts(doc, at), 0)
         numerators.append(c)
         # The history of the next order is this order's n-gram one position before.
-        denominators.append(np.r_[0, _left_out(doc, at, totals, g)[:-1]] if len(g) else c)
+        denominators.append(np.r_[0, c[:-1]] if len(c) else c)
     score = np.zeros(len(doc), np.int64)
     used = np.zeros(len(doc), np.int64)
     left = np.ones(len(doc), bool)
@@ -94,15 +102,12 @@ def block_scores(texts: list[bytes], known: np.ndarray, totals: np.ndarray, s: S
         score[take] = np.rint(MICRO * value).astype(np.int64)
         used[take] = n
         left &= ~take
-    sums = np.zeros(len(texts), np.int64)
-    np.add.at(sums, doc, score)
+    # Positions lie text by text, so a text's sum is a difference of running sums.
+    running, ends = np.r_[0, np.cumsum(score)], np.cumsum(n_words)
+    sums = running[ends] - running[ends - n_words]
     return n_words, sums, np.stack([np.bincount(doc[used == n], minlength=len(texts)) for n in range(1, s.order + 1)], 1)
 
 
-def _left_out(doc: np.ndarray, at: np.ndarray, totals: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.where(g != 0, totals[np.minimum(at, len(totals) - 1)] - _own_counts(doc, at), 0)
-
-
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Parts of the table are ranges of the hash, so sorted n-grams fall into consecutive slices."""
     return ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
@@ -161,10 +166,9 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def sum_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
         texts = plain(rows)
-        known, _ = _requests(grams(texts, order)[0])
         answers = answers.sort_by("part")
         totals = np.concatenate([unpacked(x.as_py()) for x in answers["totals"]]).astype(np.int64)
-        n_words, sums, used = block_scores(texts, known, totals, s)
+        n_words, sums, used = block_scores(texts, totals, s)
         return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(sums)} | {f"n_order_{n + 1}": pa.array(used[:, n].astype(np.int64)) for n in range(order)})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "part long, block long, grams binary, counts binary")
