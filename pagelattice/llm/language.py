@@ -42,6 +42,11 @@ class Model:
     orders: tuple[int, ...]
 
 
+# Texts are judged in parts of about this many characters, whose n-grams take some eighty bytes for each, and decoded this many rows at a time.
+PART_CHARS = 250_000
+PART_ROWS = 1_000
+
+
 def features(texts: list[str], bits: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of each lower-cased text, and where each text's begin.
 
@@ -89,7 +94,7 @@ def document_frequencies(texts: DataFrame, settings: Settings) -> tuple[np.ndarr
         counts, rows = np.zeros(size, np.int64), 0
         for batch in batches:
             values = batch.column(0).to_pylist()
-            for part in parts(values):
+            for part in parts(values, PART_CHARS):
                 own = values[part]
                 hashed, begins = features(own, settings.bits, settings.orders)
                 for h in np.split(hashed, begins[1:]):
@@ -130,7 +135,7 @@ def sample(rows: DataFrame, settings: Settings) -> list[tuple[str, np.ndarray, n
         for batch in batches:
             values = batch.column(1).to_pylist()
             ids, counts = [], []
-            for part in parts(values):
+            for part in parts(values, PART_CHARS):
                 hashed, begins = features(values[part], bits, orders)
                 for h in np.split(hashed, begins[1:]):
                     at, n = np.unique(h, return_counts=True)
@@ -213,7 +218,7 @@ def _judge(texts: list, model: Model, table: np.ndarray) -> tuple[list[str], np.
     """Languages and scores of the texts of a batch; null ones are ``und``."""
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     known = [i for i, t in enumerate(texts) if t is not None] if model.languages else []
-    for part in parts([texts[i] for i in known]):
+    for part in parts([texts[i] for i in known], PART_CHARS):
         own = known[part]
         hashed, begins = features([texts[i] for i in own], model.bits, model.orders)
         sums = np.stack([np.add.reduceat(c[hashed], begins, dtype=np.float64) for c in np.ascontiguousarray(table.T)], 1)
@@ -250,8 +255,10 @@ def recognised(docs: DataFrame, least_score: float, settings: Settings = Setting
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _judge(batch.column(at).to_pylist(), model, table)
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores.tolist())], pa.bool_()))
+            for start in range(0, batch.num_rows, PART_ROWS):
+                own = batch.slice(start, PART_ROWS)
+                names, scores = _judge(own.column(at).to_pylist(), model, table)
+                yield own.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores.tolist())], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

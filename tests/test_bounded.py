@@ -2,7 +2,19 @@
 
 import numpy as np
 
-from pagelattice.llm import backoff
+from pagelattice.llm import backoff, language
+
+
+def test_languages_are_judged_in_small_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, w * 40, "en" if i % 2 else "fr", "s", 0) for i, w in enumerate(["le chat et la maison ", "the cat and the house "] * 40)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.train(docs)
+    sizes, features = [], language.features
+    monkeypatch.setattr(language, "features", lambda texts, *rest: sizes.append(sum(map(len, texts))) or features(texts, *rest))
+    texts = [r.text * 20 for r in docs.collect()] + [None, ""]
+    names, scores = language._judge(texts, model, language._table(model))
+    assert len(sizes) > 1 and max(sizes) <= 300_000
+    alone = [language._judge([t], model, language._table(model)) for t in texts]
+    assert names == [n[0] for n, _ in alone] and np.allclose(scores, [s[0] for _, s in alone])
 
 
 def test_places_of_n_grams_equal_a_search():
