@@ -1,8 +1,18 @@
 """What a step holds at once or deals over the network stays small, with the same rows."""
 
 import numpy as np
+import pyarrow as pa
 
 from pagelattice.llm import backoff, language
+from pagelattice.sources import html
+
+
+def test_pages_leave_in_small_parts():
+    page = "<ul>" + "<li><a href='/x'>y</a>" * 4000 + "</ul>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([page] * 10 + ["", None])], ["page_id", "html"])
+    got = list(html._tokenize([batch]))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(12))
+    assert len(got) >= 4 and max(b.num_rows for b in got) * len(page) <= 400_000
 
 
 def test_languages_are_judged_in_small_parts(spark, monkeypatch):
