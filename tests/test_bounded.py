@@ -2,11 +2,26 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pagelattice.llm import backoff, language
+from pagelattice.operators import knowledge
 from pagelattice.sources import html
 
 
+def test_links_meet_entities_once(spark):
+    entities = spark.createDataFrame([("a", "A", "Page", "fact"), ("b", "B", "Page", "fact"), ("c", "C", "Page", "fact"), (None, "D", "Page", "fact")], "id string, name string, type string, epistemic_class string")
+    links = [("a", "evidence", "e1"), ("a", "evidence", "e2"), ("a", "evidence", "e3"), ("b", "evidence", "gone"), ("b", "project", "e1"), ("other", "evidence", "e1"), (None, "evidence", "e1"), ("c", "evidence", "e4")]
+    links = spark.createDataFrame([(*x, i) for i, x in enumerate(links)], "entity_id string, kind string, value string, seq bigint")
+    evidence = [("e1", "u1", "high"), ("e2", "u1", "high"), ("e3", None, "low"), ("e4", "", "low")]
+    evidence = spark.createDataFrame(evidence, "id string, source_url string, confidence string").select("*", F.lit("p").alias("source_project"), F.lit(1.0).alias("reliability_score"), F.lit("fact").alias("epistemic_class"))
+    hits = knowledge.entity_hits(entities, links, evidence)
+    assert {(r.entity_id, r.confidence, r.evidence_count, r.url_count) for r in hits.collect()} == {("a", "mixed", 3, 1), ("b", "none", 0, 0), ("c", "low", 1, 0), (None, "none", 0, 0)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Join") == 2
+    assert {r.entity_id for r in knowledge.entity_evidence(entities, links, evidence).collect()} == {"a", "c"}
+
+
 def test_pages_leave_in_small_parts():
     page = "<ul>" + "<li><a href='/x'>y</a>" * 4000 + "</ul>"
     batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([page] * 10 + ["", None])], ["page_id", "html"])
