@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelattice.llm import backoff, language
-from pagelattice.operators import knowledge
+from pagelattice.operators import knowledge, patterns
 from pagelattice.sources import html
 
 
@@ -22,6 +22,26 @@ def test_links_meet_entities_once(spark):
     assert {r.entity_id for r in knowledge.entity_evidence(entities, links, evidence).collect()} == {"a", "c"}
 
 
+def test_patterns_deal_links_once(spark):
+    make = lambda rows, columns: spark.createDataFrame(rows, columns)
+    entities = [("c1", "C1", "Company", "fact"), ("c2", "C2", "Company", "fact"), ("i1", "weak", "UxIssue", "observation"), ("i2", "weak too", "UxIssue", "observation"), ("i3", "alone", "UxIssue", "observation"),
+                ("f", "F", "Page", "fact")]
+    links = [("c1", "project", "p1"), ("c2", "project", "p2"), ("i1", "project", "p1"), ("i2", "project", "p2"), ("i3", "project", "p1"), ("f", "project", "p1"), ("f", "project", "p2"), ("i1", "evidence", "e1"), ("i1", "evidence", "e1"),
+             ("i1", "evidence", "e2"), ("i2", "evidence", "e2"), ("i2", "evidence", None), ("i2", "conflict", "x"), ("i1", "conflict", "open"), ("i1", "conflict", None), ("i1", "evidence", "x")]
+    store = {
+        "entities": make([(*e, n) for n, e in enumerate(entities)], "id string, name string, type string, epistemic_class string, seq bigint"),
+        "entity_props": make([(i, "observationKey", k) for i, k in (("i1", "k"), ("i2", "k"), ("i3", "other"), ("f", "k"))], "entity_id string, prop string, value string"),
+        "entity_links": make([(*x, n) for n, x in enumerate(links)], "entity_id string, kind string, value string, seq bigint"),
+        "evidence": make([("e1", "high"), ("e2", "low")], "id string, confidence string"),
+        "conflicts": make([("x", True), ("x", True), ("open", False), (None, True)], "id string, blocks boolean"),
+    }
+    found = patterns.candidate_patterns(store)
+    rows = [(r.observation_key, r.name, r.projects, r.companies, r.evidence_count, r.blocking_conflicts, r.confidence_summary, r.blocked) for r in found.collect()]
+    assert rows == [("k", "Candidate: k", 2, 2, 4, 1, "low", True)]
+    # Links are only joined for the companies; members, conflicts and evidence are looked up in what was written.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4
+
+
 def test_pages_leave_in_small_parts():
     page = "<ul>" + "<li><a href='/x'>y</a>" * 4000 + "</ul>"
     batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([page] * 10 + ["", None])], ["page_id", "html"])
