@@ -164,3 +164,24 @@ def test_support_labels(spark):
          "evidence": spark.createDataFrame([("v1", "high", 1.0), ("v2", "medium", 0.9)], "id string, confidence string, reliability_score double")}
     got = {r.entity_id: (r.score, r.label) for r in metrics.recommendation_confidence(s).collect()}
     assert got == {"r": (0.815, "high"), "n": (0.0, "low")}
+
+
+def test_few_accepted_mappings_meet_links_where_they_lie(spark):
+    reg = C.seed_concepts(spark)
+    first = reg.orderBy("seq").first().id
+    mappings = spark.range(40_000).select(
+        F.concat(F.lit("m"), "id").alias("id"), F.concat(F.lit("p"), F.col("id") % 3).alias("source_project"), F.concat(F.lit("e"), F.col("id")).alias("source_entity_id"),
+        F.lit("x").alias("original_label"), F.when(F.col("id") < 5, first).alias("concept_id"), F.lit(0.9).alias("confidence"), F.lit("unreviewed").alias("review_status"),
+        F.lit(False).alias("below_threshold"), F.col("id").alias("seq"))
+    links = spark.range(40_000).select(F.concat(F.lit("e"), F.col("id") * 2).alias("entity_id"), F.lit("evidence").alias("kind"), F.lit("v").alias("value"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        df = C.compare_projects(mappings, reg, links)
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(r.companies, r.evidence_complete, r.shared) for r in got] == [(3, False, True)]
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
