@@ -265,3 +265,22 @@ def test_contamination_of_odd_tables(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(frame(spark, docs).limit(0), bench).count() == 0
     assert decontaminate.clean(frame(spark, docs), bench.limit(0)).count() == len(docs)
+
+
+def test_pairs_by_packed_minhashes_equal_plain_comparison(spark):
+    s = lines.Settings()
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 31, s.further)
+    rows, paths_of = [], {}
+    for i in range(40):
+        further = np.where(rng.random(s.further) < rng.choice([0.2, 0.5, 0.9]), base, rng.integers(0, 1 << 31, s.further))
+        further[:4] = base[:4] ^ (256 * int(rng.integers(0, 4)))  # equal lowest bytes of unequal minhashes
+        paths_of[i] = further
+        rows.append((7, i, i % 30, [None] * s.bins + [int(x) for x in further]))
+    known = spark.createDataFrame(rows, "key long, id long, comp long, path array<int>")
+    want = {(a, b) for a, b in combinations(range(40), 2) if a % 30 != b % 30 and 2 * int((paths_of[a] == paths_of[b]).sum()) >= s.further}
+    df = lines._all_pairs(known.select("key", "id"), known.drop("key"), s)
+    assert {(r.a, r.b) for r in df.collect()} == want and 20 < len(want) < 700
+    far = known.withColumn("packed", lines._packed(s)).alias("x")
+    both = far.select("id", "packed").crossJoin(far.select(F.col("id").alias("id2"), F.col("packed").alias("packed2"))).select("id", "id2", lines._unlike(s).alias("n"))
+    assert {(r.id, r.id2): r.n for r in both.collect()} == {(a, b): int((paths_of[a] % 256 != paths_of[b] % 256).sum()) for a in range(40) for b in range(40)}
