@@ -83,9 +83,28 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     return written(spark, (folder, "records"), lambda: pages.extract_pages(_df(spark, folder, "w_pages").select(*src), _projects(spark, folder)))
 
 
+# Pages that a task makes and parses.
+_TASK_PAGES = 2500
+
+
+class _Dealt(Spark):
+    """Tables dealt by their rows: a row of few bytes that makes a page is much work, and by bytes a million of them are read in one task."""
+
+    def __init__(self, folder: str, tasks: int):
+        super().__init__(folder)
+        self.tasks = tasks
+
+    def t(self, table: str) -> str:
+        return f"(SELECT /*+ REPARTITION({self.tasks}) */ * FROM {super().t(table)})"
+
+
+def _rich_pages(spark: SparkSession, folder: str) -> DataFrame:
+    d = _Dealt(folder, max(1, -(-table(spark, folder, "part").count() // _TASK_PAGES)))
+    return spark.sql(f"{ctes(d, ['w_rich'], _web(d))} SELECT project_slug, page_id, seq, url, html FROM w_rich")
+
+
 def _rich(spark: SparkSession, folder: str) -> DataFrame:
-    src = ["project_slug", "page_id", "seq", "url", "html"]
-    return written(spark, (folder, "rich"), lambda: pages.extract_pages(_df(spark, folder, "w_rich").select(*src), _rich_projects(spark)))
+    return written(spark, (folder, "rich"), lambda: pages.extract_pages(_rich_pages(spark, folder), _rich_projects(spark)))
 
 
 # --- SQL pieces of the checks -------------------------------------------------------

@@ -76,3 +76,17 @@ def test_terms_are_no_patterns(spark):
     terms = spark.createDataFrame([(None, "a.b"), ("a", "STUD"), ("a", "STUD"), ("a", "c\\e"), ("a", " "), (None, None)], "project_slug string, term string")
     got = sorted((r.project_slug, r.page_id, r.term) for r in rules.terms_by_rules(pages, terms).collect())
     assert got == [("a", 1, "STUD"), ("a", 1, "a.b"), ("a", 1, "c\\e")]
+
+
+def test_pages_made_of_narrow_rows_are_parsed_by_many_tasks(spark, tmp_path):
+    """The table of parts is few bytes, so all its pages were made and parsed in one task."""
+    from pagelattice.plans import web_queries as W
+
+    rows = spark.range(6000).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit("small "), F.when(F.col("id") % 5 > 0, F.lit("rod")).otherwise("gear")).alias("p_name"), F.lit("B#1").alias("p_brand"),
+        F.when(F.col("id") % 3 > 0, F.lit("PROMO")).otherwise("LARGE").alias("p_type"), (F.col("id") % 50).cast("int").alias("p_size"))
+    rows.unionByName(rows.where("p_partkey < 10")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made, plain = W._rich_pages(spark, str(tmp_path)), W._df(spark, str(tmp_path), "w_rich")
+    assert made.exceptAll(plain.select(*made.columns)).isEmpty() and made.count() == plain.count() == 6010
+    found = W._rich(spark, str(tmp_path))
+    assert found.count() == 6010 and len(found.inputFiles()) == 3
