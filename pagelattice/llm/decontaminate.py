@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.tables import maybe_among, pick, settled
+from pagelattice.llm.tables import maybe_among, pick, settled, settled_alone
 
 
 @dataclass(frozen=True)
@@ -128,6 +128,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
 
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents without a contaminated window, with all their columns; those without an id stay."""
-    bad = settled(contaminated(docs, benchmark, s).select(F.col("doc_id").alias("bad_doc_id")).distinct())
+    bad = settled_alone(lambda: contaminated(docs, benchmark, s).select(F.col("doc_id").alias("bad_doc_id")).distinct())
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.join(bad, F.col(f"c{docs.columns.index('doc_id')}") == F.col("bad_doc_id"), "left_anti").toDF(*docs.columns)

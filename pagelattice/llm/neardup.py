@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelattice.llm import paths
 from pagelattice.llm.components import components
 from pagelattice.llm.shingles import minhashes, multipliers, parts, shingle_sets
-from pagelattice.llm.tables import maybe_among, pick, settled
+from pagelattice.llm.tables import maybe_among, pick, settled, settled_alone
 
 
 @dataclass(frozen=True)
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents that stay: the one with the smallest id of each group, with all its columns."""
-    kept = near_duplicates(docs, s).where("kept").select(F.col("doc_id").alias("kept_doc_id"))
+    kept = settled_alone(lambda: near_duplicates(docs, s).where("kept").select(F.col("doc_id").alias("kept_doc_id")))
     at = docs.columns.index("doc_id")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.join(kept, F.col(f"c{at}") == F.col("kept_doc_id"), "left_semi").toDF(*docs.columns)
