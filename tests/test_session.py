@@ -1,5 +1,7 @@
 """What a written step leaves behind."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pagelattice import session
@@ -18,6 +20,9 @@ def test_shuffle_files_of_a_written_step_go_with_it(spark):
         before = shuffle_files(spark)
         rows = spark.range(100_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s"))
         out = write(rows)
+        until = time.time() + 20  # files are deleted in the background
+        while shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.1)
         assert not shuffle_files(spark) - before
         assert out.count() == 5000 and out.where("k = 7").first().s == sum(range(7, 100_000, 5000))
         assert rows.count() == 5000 and rows.collect() and rows.collect()
